@@ -66,9 +66,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     known = keep(labels.where(~held_out), "toxic-labels")
     prior = known.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0] or 0.1
-    rows = docs.where(~held_out).join(known, "doc_id", "left")
-    rows = rows.select("text", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("positive"), F.xxhash64("doc_id").alias("key"))
-    weights = toxicity.train(rows, min(max(prior, 0.01), 0.5))
+    learnable = docs.where(~held_out)
+    keys = learnable.select("doc_id").join(known, "doc_id", "left").select(F.xxhash64("doc_id").alias("key"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("positive"))
+    weights = toxicity.train(keys, learnable.select(F.xxhash64("doc_id").alias("key"), "text"), min(max(prior, 0.01), 0.5))
     got = toxicity.score(docs, weights)
     return got.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import text_of
+from .common import keep, text_of
 
 BITS = 18
 #: Bytes of the word beginnings that are features beside whole words: inflected insults share only these.
@@ -123,19 +123,20 @@ def _train(prior: float):
     return run
 
 
-def train(rows: DataFrame, prior: float, members: int = 3, max_positive: int = 6000, max_unlabelled: int = 12000, seed: int = 3) -> np.ndarray | None:
+def train(keys: DataFrame, texts: DataFrame, prior: float, members: int = 3, max_positive: int = 6000, max_unlabelled: int = 12000, seed: int = 3) -> np.ndarray | None:
     """Mean weights of the members, the bias last; None without a positive.
 
-    ``rows``: text, positive (true: known toxic, else unlabelled), key (a hash that samples). Each member takes the rows with the
-    least keys under its own seed, up to the two limits: a limit and ordering, not a collection of the table.
+    ``keys``: key, positive (true: known toxic, else unlabelled); ``texts``: key, text. Each member takes the keys that hash least under
+    its own seed, up to the two limits. At most ``members * (max_positive + max_unlabelled)`` keys are thus broadcast to the scan of the
+    texts, which do not move; only the features of the chosen ones do.
     """
     parts = None
     for m in range(members):
-        mine = rows.withColumn("__k", F.xxhash64("key", F.lit(seed + m)))
+        mine = keys.withColumn("__k", F.xxhash64("key", F.lit(seed + m)))
         for flag, most in ((True, max_positive), (False, max_unlabelled)):
             x = mine.where(F.col("positive") == flag).orderBy("__k").limit(most).select(F.lit(m).alias("member"), "positive", "key")
             parts = x if parts is None else parts.unionByName(x)
-    chosen = parts.join(rows.select("key", text_of("text").alias("text")), "key").select("member", "positive", "text")
+    chosen = texts.join(F.broadcast(keep(parts.distinct(), "toxic-chosen")), "key").select("member", "positive", text_of("text").alias("text"))
     feats = chosen.mapInArrow(_featurise, "member int, positive boolean, features binary")
     weights = feats.groupBy("member").applyInArrow(_train(prior), "member int, feature long, weight double").groupBy("feature").agg(F.sum("weight").alias("w")).collect()
     if not any(r["feature"] >= 0 for r in weights):
