@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, packing, quality_rules, secret_scan, sharding, toxicity
+from . import chat_format, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, toxicity
 from .common import keep, table, text_of
 
 N_SHARDS = 40
@@ -31,6 +31,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "deduped.n_lines", "deduped.n_dropped", F.sha2(F.col("deduped.text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repository"), F.col("source").alias("owner"))
@@ -78,7 +82,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op5_line_dedup, op7_secret_scan, op8_chat_format, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op5_line_dedup, op6_ngram_join, op7_secret_scan, op8_chat_format, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
