@@ -10,7 +10,7 @@ Documents with equal sets are one class; what follows is about classes, so exact
    are in one component already have nothing to add and go. In the others, members are points: counts of their shingles in
    ``DIMS`` hashed groups. The overlap of two sets is at most the sum of coordinate minima, and of a set with all below a tree node at
    most that with the node's maxima; pairs of different components that pass go to verification.
-4. Verification compares whole sets; components are the answer.
+4. Verification compares finer counts, then whole sets; components are the answer.
 
 A group of more than ``BLOCK`` members is split into blocks that are met pair by pair, so no task holds more than two blocks.
 
@@ -42,8 +42,14 @@ def sets_of(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray,
     """Distinct shingles and their text numbers, by text and hash."""
     starts, ends, rows = vec.words(buf, offs)
     h, at = vec.shingles(vec.word_hashes(buf, starts, ends), rows, len(offs) - 1, width)
-    order = np.lexsort((h, at))
-    h, at = h[order], at[order]
+    # text number and the hash's upper bits in one word sort several times faster than two keys
+    spare = max(1, int(len(offs)).bit_length())
+    key = (at.astype(np.uint64) << U(64 - spare)) | (h >> U(spare))
+    order = np.argsort(key)
+    key, h, at = key[order], h[order], at[order]
+    if ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
+        order = np.lexsort((h, at))
+        h, at = h[order], at[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
     return h[new], at[new]
@@ -63,13 +69,13 @@ def _class(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often: dict[int, int] = {}
-        names = ["kind", "doc", "n", "c", *[f"k{i}" for i in range(KEYS)]]
+        names = ["kind", "doc", "n", "c", *[f"k{i}" for i in range(KEYS)], "counts"]
         id_type = pa.int64()
 
         def tallies():
             best = sorted(often.items(), key=lambda x: (-x[1], x[0]))[:HOT]
             z = pa.array([0] * len(best), pa.int64())
-            out = [pa.array([1] * len(best), pa.int32()), pa.nulls(len(best), id_type), pa.array([n for _, n in best], pa.int64()), pa.array([h for h, _ in best], pa.int64()), *[z] * KEYS]
+            out = [pa.array([1] * len(best), pa.int32()), pa.nulls(len(best), id_type), pa.array([n for _, n in best], pa.int64()), pa.array([h for h, _ in best], pa.int64()), *[z] * KEYS, pa.nulls(len(best), pa.binary())]
             often.clear()
             return pa.RecordBatch.from_arrays(out, names)
 
@@ -86,7 +92,9 @@ def _signatures(width: int):
                     if has.any():
                         out[has] = np.minimum.reduceat(v, first[has])
                     keys.append(pa.array(out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), pa.array(size), pa.array(c), *keys], names)
+                group = np.bincount(at * DIMS + (h >> U(64 - DIMS.bit_length() + 1)).astype(np.int64), minlength=n * DIMS).reshape(n, DIMS).astype("<u4")
+                coarse = pa.array([x.tobytes() for x in group], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), pa.array(size), pa.array(c), *keys, coarse], names)
                 distinct, times = np.unique(h, return_counts=True)
                 seen = times >= 3
                 for x, t in zip(distinct[seen].view(np.int64).tolist(), times[seen].tolist(), strict=True):
@@ -146,25 +154,47 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return
 
 
+def _fine(h: np.ndarray) -> bytes:
+    """Counts of one sorted set in a number of hashed groups that grows with it, about four shingles each."""
+    bits = max(7, int(len(h) // 4).bit_length())
+    return np.bincount((h >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+
+
 def _sets(width: int, bits: bytes):
     wanted = np.frombuffer(bits, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offs in vec.chunks(batch, "text"):
-                bit = part.column(1).to_numpy()
-                take = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-                if not take.any():
-                    continue
-                n = len(offs) - 1
+            bit = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0))
+            for _, buf, offs in vec.chunks(batch, "text"):
                 h, at = sets_of(buf, offs, width)
-                size, c, first = _class(h, at, n)
-                own = [i for i in np.flatnonzero(take & (size > 0))]
-                group = np.bincount(at * DIMS + (h >> U(57)).astype(np.int64), minlength=n * DIMS).reshape(n, DIMS).astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[own]), pa.array(size[own]), pa.array([h[first[i] : first[i] + size[i]].tobytes() for i in own], pa.binary()), pa.array([group[i].tobytes() for i in own], pa.binary())],
-                    ["c", "n", "set", "counts"],
-                )
+                size, c, first = _class(h, at, len(offs) - 1)
+                own = np.flatnonzero(size > 0)
+                each = [h[first[i] : first[i] + size[i]] for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([_fine(x) for x in each], pa.binary())], ["c", "set", "fine"])
+
+    return run
+
+
+def _reach(most, q, x, percent: int):
+    """Whether an overlap of ``most`` lets sets of q and x elements reach the threshold: o >= percent * (q + x - o) / 100."""
+    return (100 + percent) * most >= percent * (q + x)
+
+
+def _bound(percent: int):
+    """Pairs whose fine counts allow the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+                width = min(len(x), len(y))
+                x, y = x.reshape(width, -1).sum(1), y.reshape(width, -1).sum(1)
+                ok.append(bool(_reach(np.minimum(x, y).sum(), x.sum(), y.sum(), percent)))
+            keepers = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keepers), batch.column(1).take(keepers)], ["u", "v"])
 
     return run
 
@@ -209,21 +239,18 @@ class CountTree:
     def search(self, counts: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of queries and of points whose overlap may reach the threshold."""
 
-        def reach(most, q, x):  # overlap o of sets of q and x has o >= percent * (q + x - o) / 100
-            return (100 + percent) * most >= percent * (q + x)
-
         stack = [(0, np.arange(len(sizes)))]
         while stack:
             node, q = stack.pop()
             lo, hi, left, right, most, least = self.nodes[node]
-            q = q[reach(np.minimum(counts[q], most).sum(1), sizes[q], least)]
+            q = q[_reach(np.minimum(counts[q], most).sum(1), sizes[q], least, percent)]
             if not len(q):
                 continue
             if left >= 0:
                 stack += [(left, q), (right, q)]
                 continue
             for p in self.order[lo:hi]:
-                hit = q[reach(np.minimum(counts[q], self.counts[p]).sum(1), sizes[q], self.sizes[p]) & (100 * np.minimum(sizes[q], self.sizes[p]) >= percent * np.maximum(sizes[q], self.sizes[p]))]
+                hit = q[_reach(np.minimum(counts[q], self.counts[p]).sum(1), sizes[q], self.sizes[p], percent) & (100 * np.minimum(sizes[q], self.sizes[p]) >= percent * np.maximum(sizes[q], self.sizes[p]))]
                 if len(hit):
                     yield hit, np.full(len(hit), p)
 
@@ -275,10 +302,26 @@ def _candidates(percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose sets reach the threshold."""
-    a = sets.select(F.col("c").alias("u"), F.col("set").alias("a"))
-    b = sets.select(F.col("c").alias("v"), F.col("set").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(percent), "u long, v long")
+    """The pairs (u, v) of classes whose sets reach the threshold: first by their fine counts, a thirtieth of a set's size."""
+    for column, test in (("fine", _bound), ("set", _verify)):
+        a, b = (sets.select(F.col("c").alias(k), F.col(column).alias(f"{k}_")) for k in "uv")
+        pairs = keep(pairs.join(a, "u").join(b, "v").select("u", "v", "u_", "v_").mapInArrow(test(percent), "u long, v long"), f"join-{column}")
+    return pairs
+
+
+def _read_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(c, set, fine) of the classes in ``pairs``, read off their least document.
+
+    A bit map of fixed size picks those documents, and some others that the join drops again, where they are read.
+    """
+    asked = keep(pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct(), "join-asked")
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << BITS))
+    words = asked.join(classes.select("c", "doc"), "c").select(place.alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(b, 32) as int))")).alias("x")).collect()
+    bits = np.zeros(1 << (BITS - 5), "<u4")
+    for r in words:
+        bits[r["w"]] = r["x"]
+    sets = docs.select("doc", place.alias("place"), "text").mapInArrow(_sets(width, bits.tobytes()), "c long, set binary, fine binary")
+    return keep(sets.join(asked, "c", "left_semi").dropDuplicates(["c"]), "join-sets")
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,13 +329,13 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_
     if docs.schema[id_col].dataType.typeName() not in ("long", "integer"):
         raise TypeError(f"{id_col} has to be an integer")
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
-    fields = "kind int, doc long, n long, c long, " + ", ".join(f"k{i} long" for i in range(KEYS))
+    fields = "kind int, doc long, n long, c long, " + ", ".join(f"k{i} long" for i in range(KEYS)) + ", counts binary"
     signed = keep(docs.mapInArrow(_signatures(width), fields), "join-signatures")
     own = signed.where("kind = 0")
     hot = signed.where("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).where("n >= 20").orderBy(F.desc("n"), "c").limit(HOT).select("c").collect()
     hot = np.sort(np.array([r["c"] for r in hot], np.int64).view(np.uint64))
-    classes = own.where("n > 0").groupBy("c").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(KEYS)])
-    classes = keep(classes, "join-classes")
+    first = F.min(F.struct(F.isnull("doc").alias("x"), "doc", "n", *[f"k{i}" for i in range(KEYS)], "counts")).alias("first")
+    classes = keep(own.where("n > 0").groupBy("c").agg(first).select("c", "first.*").drop("x"), "join-classes")
     # sure links: everyone with the least class of each of its min-hash groups
     keyed = classes.select("c", "n", F.posexplode(F.array(*[f"k{i}" for i in range(KEYS)])).alias("i", "key"))
     pivots = keyed.groupBy("i", "key").agg(F.min(F.struct("c", "n")).alias("p"), F.max("c").alias("most")).where("p.c <> most").select("i", "key", "p")
@@ -301,28 +344,23 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_
     # groups of the prefix filter with two classes or more
     prefixes = docs.mapInArrow(_prefixes(width, percent, hot), "sh long, c long")
     shared = keep(prefixes.repartition("sh").sortWithinPartitions("sh", "c").mapInArrow(_shared, "sh long, c long"), "join-shared")
-    # sets of the classes that are in question, read off their least document; a bit map of fixed size picks those, with some to spare
-    asked = shared.select("c").distinct().unionByName(stars.select(F.col("u").alias("c"))).unionByName(stars.select(F.col("v").alias("c"))).distinct()
-    place = F.pmod(F.xxhash64("doc"), F.lit(1 << BITS))
-    words = asked.join(classes.select("c", "doc"), "c").select(place.alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(b, 32) as int))")).alias("x")).collect()
-    bits = np.zeros(1 << (BITS - 5), "<u4")
-    for r in words:
-        bits[r["w"]] = r["x"]
-    sets = docs.select("doc", place.alias("place"), "text").mapInArrow(_sets(width, bits.tobytes()), "c long, n long, set binary, counts binary")
-    sets = keep(sets.join(asked, "c", "left_semi").dropDuplicates(["c"]), "join-sets")
-    sure = keep(verified(stars, sets, percent), "join-sure")
+    sure = verified(stars, _read_sets(docs, classes, stars, width), percent)
     labels = components(sure).withColumnRenamed("u", "c")
     # only groups that could join two components are left
     labelled = shared.join(labels, "c", "left").select("sh", "c", F.coalesce("root", "c").alias("label"))
     labelled = keep(labelled, "join-labelled")
-    mixed = labelled.groupBy("sh").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b")
+    # groups of the same members say the same: one of them stays, told by number, sum and exclusive or of hashes
+    h = F.xxhash64(F.lit(1), F.col("c"))
+    mixed = labelled.groupBy("sh").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(h, 24)).alias("s"), F.bit_xor(h).alias("x")).where("a <> b")
+    mixed = mixed.groupBy("m", "s", "x").agg(F.min("sh").alias("sh"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = labelled.join(mixed, "sh").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    rows = labelled.join(mixed.select("sh", "m"), "sh").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sh", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "label")
-    rows = rows.join(sets.select("c", "n", "counts"), "c").select("sh", "i", "j", "block", "c", "label", "n", "counts")
+    rows = rows.join(classes.select("c", "n", "counts"), "c").select("sh", "i", "j", "block", "c", "label", "n", "counts")
     pairs = rows.repartition("sh", "i", "j").sortWithinPartitions("sh", "i", "j").mapInArrow(_candidates(percent), "u long, v long").distinct()
-    more = keep(verified(keep(pairs, "join-pairs"), sets, percent), "join-more")
+    pairs = keep(pairs, "join-pairs")
+    more = verified(pairs, _read_sets(docs, classes, pairs, width), percent)
     roots = components(sure.unionByName(more))
     tree = classes.join(roots.withColumnRenamed("u", "c"), "c", "left").select("c", "doc", F.coalesce("root", "c").alias("root"))
     least = tree.groupBy("root").agg(F.min("doc").alias("component_id"))
