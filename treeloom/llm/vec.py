@@ -43,10 +43,10 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null is empty."""
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, b"" if binary else "")
     offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     buf = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and len(offs) else np.zeros(0, np.uint8)
