@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import vec
 from .common import keep, text_of
 
-BLOCK, BLOCK_BYTES = 32_768, 2 << 20
+BLOCK, BLOCK_BYTES = 32_768, 256 << 10
 POSITION = 28
 U = np.uint64
 _TABLES = np.random.Generator(np.random.PCG64(23)).integers(1, 2**63, (2, 256), np.uint64) | U(1)
@@ -161,34 +161,37 @@ class RunIndex:
         text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         n = len(text)
         rest = np.repeat(self.ends, sizes + 1) - np.arange(n)
-        padded = np.zeros(n + 8, np.uint8)
-        padded[:n] = text
+        # seven symbols of nine bits in a word: bytes are 1 to 256, what lies behind a text's end is 0
+        symbol = np.zeros(n + 7, np.uint64)
+        symbol[:n] = text + np.uint64(1)
+        symbol[self.ends] = 0
         word = np.zeros(n, np.uint64)
-        for j in range(8):
-            word |= np.where(rest > j, padded[j : j + n], 0).astype(np.uint64) << U(56 - 8 * j)
-        # order by eight bytes; a text that ends within them is less than one that goes on, and unlike any other
-        short = np.where(rest < 8, np.arange(n), n)
-        order = np.lexsort((short, np.minimum(rest, 8), word))
+        for j in range(7):
+            word |= np.where(rest > j, symbol[j : j + n], U(0)) << U(54 - 9 * j)
+        order = np.argsort(word)
+        short = rest < 7
+        # texts that end within a word are unlike any other: equal ones stand in the order of their positions
+        place = np.flatnonzero(short[order])
+        own = order[place]
+        order[place] = own[np.lexsort((own, word[own]))]
         new = np.ones(n, bool)
-        new[1:] = (word[order[1:]] != word[order[:-1]]) | (rest[order[1:]] < 8) | (rest[order[:-1]] < 8)
+        new[1:] = (word[order[1:]] != word[order[:-1]]) | short[order[1:]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
-        ranks, h = [(8, rank.astype(np.int32))], 8
+        ranks, h = [(7, rank.astype(np.int32))], 7
         while not new.all():
             # only ties need another look; a tie has h bytes left at least, so position + h is in its text or on its end
-            tied = np.zeros(n, bool)
-            tied[1:] = ~new[1:]
+            tied = ~new
             tied[:-1] |= ~new[1:]
             at = np.flatnonzero(tied)
             own = order[at]
-            after = rank[np.minimum(own + h, n - 1)]
-            own = own[np.lexsort((after, rank[own]))]
+            key = (rank[own].astype(np.uint64) << U(32)) | rank[np.minimum(own + h, n - 1)].astype(np.uint64)
+            by = np.argsort(key)
+            key, own = key[by], own[by]
             order[at] = own
-            after = rank[np.minimum(own + h, n - 1)]
             differs = np.ones(len(at), bool)
-            differs[1:] = (rank[own[1:]] != rank[own[:-1]]) | (after[1:] != after[:-1])
+            differs[1:] = key[1:] != key[:-1]
             new[at] = differs
-            rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new) - 1
             h *= 2
             ranks.append((h, rank.astype(np.int32)))
@@ -211,7 +214,7 @@ class RunIndex:
         rest = self.word[i] ^ self.word[j]
         lead = np.zeros(len(i), np.int64)
         for b in range(1, 8):
-            lead += rest >> U(64 - 8 * b) == 0
+            lead += rest >> U(63 - 9 * b) == 0
         left = np.repeat(self.ends, self.ends - self.starts + 1) - np.arange(self.n)
         return out + np.minimum(lead, np.minimum(left[i], left[j]))
 
@@ -279,7 +282,7 @@ def repeated(texts: DataFrame, length: int, level: int = 0) -> DataFrame:
     local = occ.where("a is null").select("row", "start", "ranges")
     found = occ.where("a is not null")
     distinct = keep(found.groupBy("a", "s").agg(F.sum("times").alias("times"), F.max("windows").alias("windows")), f"suffix-distinct{level}")
-    anchors = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    anchors = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("least")).where("m > 1 and least = 1").drop("least")
     asked = keep(distinct.join(anchors, "a").select("a", "s", "m", "times"), f"suffix-asked{level}")
     # the snippets to index are read off the texts again; a bit map of a size set by their number, at most 16 MB, picks them
     count = asked.count()
@@ -295,7 +298,7 @@ def repeated(texts: DataFrame, length: int, level: int = 0) -> DataFrame:
     by_count = distinct.where("times > 1").select("a", "s", F.unhex(F.lpad(F.hex(F.lit(0)), 8, "0")).alias("zero"), (F.col("windows") - 1).alias("last"))
     by_count = by_count.select("a", "s", F.concat("zero", _little(F.col("last"))).alias("ranges"))
     result = by_count.unionByName(indexed.join(distinct.where("times > 1").select("a", "s"), ["a", "s"], "left_anti"))
-    many = fetched.where((F.col("m") > BLOCK) & (F.col("times") == 1))
+    many = fetched.where(F.col("m") > BLOCK)
     if count and level + 1 < len(levels(length)) and many.limit(1).count():
         deeper = keep(many.withColumn("row", F.xxhash64("a", "s")), f"suffix-many{level}")
         below = repeated(deeper.select("row", F.col("bytes").alias("text")), length, level + 1)
