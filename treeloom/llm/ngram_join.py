@@ -4,7 +4,8 @@ Documents with equal sets are one class; what follows is about classes, so exact
 
 1. Signatures: each document's set size, a 64-bit hash of its set (the class) and four min-hashes.
 2. Sure links first: in each group of a min-hash the least class is the pivot, and every other member is verified against it. That
-   joins most groups of near copies by as many pairs as they have members. It only adds true links.
+   joins most groups of near copies by as many pairs as they have members. It only adds true links. Rounds of the same follow in the groups
+   of step 3, with the member that meets most others as pivot, until none finds a link.
 3. Completion, exact: with a common order of shingles two sets of Jaccard 0.75 share one of their first n - ceil(0.75 n) + 1 (prefix
    filter). Shingles found often come last in the order (a list of at most ``HOT``, which affects cost only). Groups of one shingle whose members all
    are in one component already have nothing to add and go. In the others, members are points: counts of their shingles in
@@ -157,7 +158,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fine(h: np.ndarray) -> bytes:
     """Counts of one sorted set in a number of hashed groups that grows with it, about four shingles each."""
     bits = max(7, int(len(h) // 4).bit_length())
-    return np.bincount((h >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+    while True:
+        counts = np.bincount((h >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if counts.max() < 256:
+            return counts.astype(np.uint8).tobytes()
+        bits += 1
 
 
 def _sets(width: int, bits: bytes):
@@ -189,7 +194,7 @@ def _bound(percent: int):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+                x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
                 width = min(len(x), len(y))
                 x, y = x.reshape(width, -1).sum(1), y.reshape(width, -1).sum(1)
                 ok.append(bool(_reach(np.minimum(x, y).sum(), x.sum(), y.sum(), percent)))
@@ -324,6 +329,18 @@ def _read_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int
     return keep(sets.join(asked, "c", "left_semi").dropDuplicates(["c"]), "join-sets")
 
 
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (sh, c, label, m) of the groups that hold two components or more, m of them.
+
+    Groups of the same members say the same: one of them stays, told by number, sum and exclusive or of hashes.
+    """
+    labelled = keep(shared.join(roots.withColumnRenamed("u", "c"), "c", "left").select("sh", "c", F.coalesce("root", "c").alias("label")), "join-labelled")
+    h = F.xxhash64(F.lit(1), F.col("c"))
+    mixed = labelled.groupBy("sh").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(h, 24)).alias("s"), F.bit_xor(h).alias("x")).where("a <> b")
+    mixed = mixed.groupBy("m", "s", "x").agg(F.min("sh").alias("sh")).select("sh", "m")
+    return keep(labelled.join(mixed, "sh"), "join-mixed")
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of ``docs``: id, n_shingles, class_id (equal sets), component_id (smallest id linked, itself included)."""
     if docs.schema[id_col].dataType.typeName() not in ("long", "integer"):
@@ -345,16 +362,20 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_
     prefixes = docs.mapInArrow(_prefixes(width, percent, hot), "sh long, c long")
     shared = keep(prefixes.repartition("sh").sortWithinPartitions("sh", "c").mapInArrow(_shared, "sh long, c long"), "join-shared")
     sure = verified(stars, _read_sets(docs, classes, stars, width), percent)
-    labels = components(sure).withColumnRenamed("u", "c")
-    # only groups that could join two components are left
-    labelled = shared.join(labels, "c", "left").select("sh", "c", F.coalesce("root", "c").alias("label"))
-    labelled = keep(labelled, "join-labelled")
-    # groups of the same members say the same: one of them stays, told by number, sum and exclusive or of hashes
-    h = F.xxhash64(F.lit(1), F.col("c"))
-    mixed = labelled.groupBy("sh").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(h, 24)).alias("s"), F.bit_xor(h).alias("x")).where("a <> b")
-    mixed = mixed.groupBy("m", "s", "x").agg(F.min("sh").alias("sh"))
+    # more sure links, from groups that could still join two components: everyone with the member that meets most others, as
+    # that is likely the text of which the others are copies; until a round finds nothing
+    while True:
+        labelled = _mixed(shared, components(sure))
+        popular = labelled.groupBy("c").agg(F.sum("m").alias("met"))
+        pivots = labelled.join(popular, "c").groupBy("sh").agg(F.max(F.struct("met", "c", "label")).alias("p"))
+        stars = labelled.join(pivots, "sh").where("label <> p.label").select(F.least("c", "p.c").alias("u"), F.greatest("c", "p.c").alias("v")).distinct()
+        stars = keep(stars, "join-stars")
+        more = verified(stars, _read_sets(docs, classes, stars, width), percent)
+        if not more.limit(1).count():
+            break
+        sure = sure.unionByName(more)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = labelled.join(mixed.select("sh", "m"), "sh").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    rows = labelled.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sh", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "label")
     rows = rows.join(classes.select("c", "n", "counts"), "c").select("sh", "i", "j", "block", "c", "label", "n", "counts")
