@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, toxicity
+from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, toxicity
 from .common import keep, table, text_of
 
 N_SHARDS = 40
@@ -26,6 +26,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_dedup.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "deduped.n_bytes", "deduped.n_removed", "deduped.n_spans", F.sha2("deduped.kept", 256).alias("kept_sha256"))
@@ -87,7 +91,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op4_suffix_dedup, op5_line_dedup, op6_ngram_join, op7_secret_scan, op8_chat_format, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_decontaminate, op4_suffix_dedup, op5_line_dedup, op6_ngram_join, op7_secret_scan, op8_chat_format, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,13 +29,11 @@ from .common import keep, text_of
 BITS = 18
 #: Bytes of the word beginnings that are features beside whole words: inflected insults share only these.
 STEMS = (4, 5, 6)
-_SEPARATES = vec.IS_SPACE.copy()
-_SEPARATES[:128] |= ~np.array([chr(i).isalnum() for i in range(128)])
 
 
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text number and feature of every distinct word and stem of each text, sorted by text."""
-    starts, ends, rows = vec.words(buf, offs, _SEPARATES)
+    starts, ends, rows = vec.words(buf, offs, vec.IS_BREAK)
     keys = []
     for k in (0, *STEMS):
         long = slice(None) if not k else ends - starts > k

@@ -17,6 +17,9 @@ CHUNK = 1 << 20
 U = np.uint64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: All of ASCII but letters and digits.
+IS_BREAK = IS_SPACE.copy()
+IS_BREAK[:128] |= ~np.array([chr(i).isalnum() for i in range(128)])
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, np.uint64) | U(1)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
