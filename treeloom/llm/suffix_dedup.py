@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import keep, text_of
+from .common import free, keep, text_of
 
 BLOCK, BLOCK_BYTES = 32_768, 256 << 10
 POSITION = 28
@@ -307,6 +307,7 @@ def repeated(texts: DataFrame, length: int, level: int = 0) -> DataFrame:
     else:
         result = result.withColumn("shift", F.lit(0))
     result = keep(result, f"suffix-result{level}")
+    free(distinct, asked, fetched)
     hits = found.select("a", "s", "row", "start").hint("merge").join(result.hint("merge"), ["a", "s"]).select("row", (F.col("start") + F.col("shift")).alias("start"), "ranges")
     return hits.unionByName(local)
 
