@@ -5,7 +5,7 @@ Documents with equal sets are one class; what follows is about classes, so exact
 1. Signatures: each document's set size, a 64-bit hash of its set (the class) and four min-hashes.
 2. Sure links first: in each group of a min-hash the least class is the pivot, and every other member is verified against it. That
    joins most groups of near copies by as many pairs as they have members. It only adds true links. Rounds of the same follow in the groups
-   of step 3, with the member that meets most others as pivot, until none finds a link.
+   of step 3, with the member that meets most others as pivot, while one finds ``ROUND`` links.
 3. Completion, exact: with a common order of shingles two sets of Jaccard 0.75 share one of their first n - ceil(0.75 n) + 1 (prefix
    filter). Shingles found often come last in the order (a list of at most ``HOT``, which affects cost only). Groups of one shingle whose members all
    are in one component already have nothing to add and go. In the others, members are points: counts of their shingles in
@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import keep
+from .common import free, keep
 from .graph import components
 
-HOT, DIMS, BLOCK, LEAF, KEYS = 4096, 128, 4096, 32, 4
+HOT, DIMS, BLOCK, LEAF, KEYS, ROUND = 4096, 128, 4096, 32, 4, 1000
 BITS = 24
 U = np.uint64
 
@@ -165,7 +165,7 @@ def _fine(h: np.ndarray) -> bytes:
         bits += 1
 
 
-def _sets(width: int, bits: bytes):
+def _sets(width: int, bits: bytes, fine: bool):
     wanted = np.frombuffer(bits, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def _sets(width: int, bits: bytes):
                 size, c, first = _class(h, at, len(offs) - 1)
                 own = np.flatnonzero(size > 0)
                 each = [h[first[i] : first[i] + size[i]] for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([_fine(x) for x in each], pa.binary())], ["c", "set", "fine"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array([_fine(x) if fine else x.tobytes() for x in each], pa.binary())], ["c", "body"])
 
     return run
 
@@ -187,14 +187,14 @@ def _reach(most, q, x, percent: int):
     return (100 + percent) * most >= percent * (q + x)
 
 
-def _bound(percent: int):
+def _bound(percent: int, kind: str):
     """Pairs whose fine counts allow the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+                x, y = np.frombuffer(x, kind).astype(np.int64), np.frombuffer(y, kind).astype(np.int64)
                 width = min(len(x), len(y))
                 x, y = x.reshape(width, -1).sum(1), y.reshape(width, -1).sum(1)
                 ok.append(bool(_reach(np.minimum(x, y).sum(), x.sum(), y.sum(), percent)))
@@ -306,16 +306,19 @@ def _candidates(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose sets reach the threshold: first by their fine counts, a thirtieth of a set's size."""
-    for column, test in (("fine", _bound), ("set", _verify)):
-        a, b = (sets.select(F.col("c").alias(k), F.col(column).alias(f"{k}_")) for k in "uv")
-        pairs = keep(pairs.join(a, "u").join(b, "v").select("u", "v", "u_", "v_").mapInArrow(test(percent), "u long, v long"), f"join-{column}")
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose sets reach the threshold: first by the counts at hand, then by finer ones, then by the sets."""
+    for step, test in (("counts", _bound(percent, "<u4")), ("fine", _bound(percent, "u1")), ("set", _verify(percent))):
+        body = classes.select("c", F.col("counts").alias("body")) if step == "counts" else _read(docs, classes, pairs, width, step == "fine")
+        a, b = (body.select(F.col("c").alias(k), F.col("body").alias(f"{k}_")) for k in "uv")
+        left = keep(pairs.join(a, "u").join(b, "v").select("u", "v", "u_", "v_").mapInArrow(test, "u long, v long"), f"join-{step}")
+        free(pairs, *([body] if step != "counts" else []))
+        pairs = left
     return pairs
 
 
-def _read_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(c, set, fine) of the classes in ``pairs``, read off their least document.
+def _read(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, fine: bool) -> DataFrame:
+    """(c, body) of the classes in ``pairs``, fine counts or whole sets, read off their least document.
 
     A bit map of fixed size picks those documents, and some others that the join drops again, where they are read.
     """
@@ -325,8 +328,10 @@ def _read_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int
     bits = np.zeros(1 << (BITS - 5), "<u4")
     for r in words:
         bits[r["w"]] = r["x"]
-    sets = docs.select("doc", place.alias("place"), "text").mapInArrow(_sets(width, bits.tobytes()), "c long, set binary, fine binary")
-    return keep(sets.join(asked, "c", "left_semi").dropDuplicates(["c"]), "join-sets")
+    sets = docs.select("doc", place.alias("place"), "text").mapInArrow(_sets(width, bits.tobytes(), fine), "c long, body binary")
+    out = keep(sets.join(asked, "c", "left_semi").dropDuplicates(["c"]), "join-sets")
+    free(asked)
+    return out
 
 
 def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -338,7 +343,9 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     h = F.xxhash64(F.lit(1), F.col("c"))
     mixed = labelled.groupBy("sh").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(h, 24)).alias("s"), F.bit_xor(h).alias("x")).where("a <> b")
     mixed = mixed.groupBy("m", "s", "x").agg(F.min("sh").alias("sh")).select("sh", "m")
-    return keep(labelled.join(mixed, "sh"), "join-mixed")
+    out = keep(labelled.join(mixed, "sh"), "join-mixed")
+    free(labelled)
+    return out
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,27 +368,32 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_
     # groups of the prefix filter with two classes or more
     prefixes = docs.mapInArrow(_prefixes(width, percent, hot), "sh long, c long")
     shared = keep(prefixes.repartition("sh").sortWithinPartitions("sh", "c").mapInArrow(_shared, "sh long, c long"), "join-shared")
-    sure = verified(stars, _read_sets(docs, classes, stars, width), percent)
+    sure = verified(docs, classes, stars, width, percent)
     # more sure links, from groups that could still join two components: everyone with the member that meets most others, as
     # that is likely the text of which the others are copies; until a round finds nothing
+    roots = components(sure)
     while True:
-        labelled = _mixed(shared, components(sure))
+        labelled = _mixed(shared, roots)
         popular = labelled.groupBy("c").agg(F.sum("m").alias("met"))
         pivots = labelled.join(popular, "c").groupBy("sh").agg(F.max(F.struct("met", "c", "label")).alias("p"))
         stars = labelled.join(pivots, "sh").where("label <> p.label").select(F.least("c", "p.c").alias("u"), F.greatest("c", "p.c").alias("v")).distinct()
         stars = keep(stars, "join-stars")
-        more = verified(stars, _read_sets(docs, classes, stars, width), percent)
-        if not more.limit(1).count():
+        more = verified(docs, classes, stars, width, percent)
+        sure = keep(sure.unionByName(more), "join-sure")
+        found = more.count()
+        roots = components(sure)
+        if found < ROUND:
             break
-        sure = sure.unionByName(more)
+        free(labelled)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    labelled = labelled.join(roots.withColumnRenamed("u", "c"), "c", "left").withColumn("label", F.coalesce("root", "c")).drop("root")
     rows = labelled.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("sh", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "label")
     rows = rows.join(classes.select("c", "n", "counts"), "c").select("sh", "i", "j", "block", "c", "label", "n", "counts")
     pairs = rows.repartition("sh", "i", "j").sortWithinPartitions("sh", "i", "j").mapInArrow(_candidates(percent), "u long, v long").distinct()
     pairs = keep(pairs, "join-pairs")
-    more = verified(pairs, _read_sets(docs, classes, pairs, width), percent)
+    more = verified(docs, classes, pairs, width, percent)
     roots = components(sure.unionByName(more))
     tree = classes.join(roots.withColumnRenamed("u", "c"), "c", "left").select("c", "doc", F.coalesce("root", "c").alias("root"))
     least = tree.groupBy("root").agg(F.min("doc").alias("component_id"))
