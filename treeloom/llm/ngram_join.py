@@ -34,7 +34,7 @@ from . import vec
 from .common import free, keep
 from .graph import components
 
-HOT, DIMS, BLOCK, LEAF, KEYS, ROUND = 4096, 128, 4096, 32, 4, 1000
+HOT, DIMS, BLOCK, LEAF, KEYS, ROUND = 4096, 512, 4096, 32, 4, 1000
 BITS = 24
 U = np.uint64
 
@@ -93,7 +93,8 @@ def _signatures(width: int):
                     if has.any():
                         out[has] = np.minimum.reduceat(v, first[has])
                     keys.append(pa.array(out))
-                group = np.bincount(at * DIMS + (h >> U(64 - DIMS.bit_length() + 1)).astype(np.int64), minlength=n * DIMS).reshape(n, DIMS).astype("<u4")
+                group = np.bincount(at * DIMS + (h >> U(64 - DIMS.bit_length() + 1)).astype(np.int64), minlength=n * DIMS).reshape(n, DIMS)
+                group = np.minimum(group, 255).astype(np.uint8)
                 coarse = pa.array([x.tobytes() for x in group], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), pa.array(size), pa.array(c), *keys, coarse], names)
                 distinct, times = np.unique(h, return_counts=True)
@@ -187,17 +188,20 @@ def _reach(most, q, x, percent: int):
     return (100 + percent) * most >= percent * (q + x)
 
 
-def _bound(percent: int, kind: str):
+def _bound(percent: int):
     """Pairs whose fine counts allow the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, kind).astype(np.int64), np.frombuffer(y, kind).astype(np.int64)
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                if max(x.max(), y.max()) == 255:  # as far as counted: no bound
+                    ok.append(True)
+                    continue
                 width = min(len(x), len(y))
                 x, y = x.reshape(width, -1).sum(1), y.reshape(width, -1).sum(1)
-                ok.append(bool(_reach(np.minimum(x, y).sum(), x.sum(), y.sum(), percent)))
+                ok.append(bool(_reach(int(np.minimum(x, y).sum()), int(x.sum()), int(y.sum()), percent)))
             keepers = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keepers), batch.column(1).take(keepers)], ["u", "v"])
 
@@ -248,14 +252,14 @@ class CountTree:
         while stack:
             node, q = stack.pop()
             lo, hi, left, right, most, least = self.nodes[node]
-            q = q[_reach(np.minimum(counts[q], most).sum(1), sizes[q], least, percent)]
+            q = q[_reach(np.minimum(counts[q], most).sum(1, dtype=np.int64), sizes[q], least, percent)]
             if not len(q):
                 continue
             if left >= 0:
                 stack += [(left, q), (right, q)]
                 continue
             for p in self.order[lo:hi]:
-                hit = q[_reach(np.minimum(counts[q], self.counts[p]).sum(1), sizes[q], self.sizes[p], percent) & (100 * np.minimum(sizes[q], self.sizes[p]) >= percent * np.maximum(sizes[q], self.sizes[p]))]
+                hit = q[_reach(np.minimum(counts[q], self.counts[p]).sum(1, dtype=np.int64), sizes[q], self.sizes[p], percent) & (100 * np.minimum(sizes[q], self.sizes[p]) >= percent * np.maximum(sizes[q], self.sizes[p]))]
                 if len(hit):
                     yield hit, np.full(len(hit), p)
 
@@ -265,7 +269,9 @@ def _candidates(percent: int):
 
     def group(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         block, c, label, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-        counts = np.frombuffer(b"".join(r[7] for r in rows), "<u4").reshape(len(rows), DIMS).astype(np.int64)
+        counts = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), DIMS)
+        if counts.max() == 255:  # counted no further: as good as without end
+            counts = np.where(counts == 255, 1 << 30, counts.astype(np.int64))
         i, j = rows[0][1], rows[0][2]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(left) or not len(right):
@@ -306,9 +312,9 @@ def _candidates(percent: int):
     return run
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose sets reach the threshold: first by the counts at hand, then by finer ones, then by the sets."""
-    for step, test in (("counts", _bound(percent, "<u4")), ("fine", _bound(percent, "u1")), ("set", _verify(percent))):
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, bounded: bool = False) -> DataFrame:
+    """The pairs (u, v) of classes whose sets reach the threshold: first by the counts at hand (unless that is done), then by finer ones, then by the sets."""
+    for step, test in (("counts", _bound(percent)), ("fine", _bound(percent)), ("set", _verify(percent)))[bounded:]:
         body = classes.select("c", F.col("counts").alias("body")) if step == "counts" else _read(docs, classes, pairs, width, step == "fine")
         a, b = (body.select(F.col("c").alias(k), F.col("body").alias(f"{k}_")) for k in "uv")
         left = keep(pairs.join(a, "u").join(b, "v").select("u", "v", "u_", "v_").mapInArrow(test, "u long, v long"), f"join-{step}")
@@ -393,7 +399,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_
     rows = rows.join(classes.select("c", "n", "counts"), "c").select("sh", "i", "j", "block", "c", "label", "n", "counts")
     pairs = rows.repartition("sh", "i", "j").sortWithinPartitions("sh", "i", "j").mapInArrow(_candidates(percent), "u long, v long").distinct()
     pairs = keep(pairs, "join-pairs")
-    more = verified(docs, classes, pairs, width, percent)
+    more = verified(docs, classes, pairs, width, percent, bounded=True)
     roots = components(sure.unionByName(more))
     tree = classes.join(roots.withColumnRenamed("u", "c"), "c", "left").select("c", "doc", F.coalesce("root", "c").alias("root"))
     least = tree.groupBy("root").agg(F.min("doc").alias("component_id"))
