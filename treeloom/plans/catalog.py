@@ -1,11 +1,381 @@
-"""All reference queries by name, with their oracles."""
+"""All reference queries by name, on the token fixture, with their DuckDB text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..operators import edges as E
+from ..operators import error_matrix as M
+from ..operators import metrics, resolve, signatures, splits
+from ..sources import conllu
+from .fixture import SQL, tokens, tree
 
-def oracle_sql():
-    return {}
+NAMES = ["Case", "Number", "Gender"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = SQL + sql if sql.lstrip().startswith(("SELECT", ",")) else sql
+        return f
+
+    return add
+
+
+def pair(t: DataFrame, scheme: str, *more: str) -> DataFrame:
+    """One scheme's gold and predicted columns under common names."""
+    names = [F.col(f"{c}_{scheme}_{r}").alias(f"{c}_{r}") for c in ("upos", "feats", "head", "deprel") for r in "gp"]
+    return t.select("sent_id", "id", "subset", "form", "ellipsis", *more, *names)
+
+
+def both_trees(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = tokens(s, d)
+    return tree(t, "ud"), tree(t, "str")
+
+
+WITH_FULL = ", rows_ AS (SELECT *, unnest([subset, 'full']) AS part FROM tok)"
+
+
+def _matrix_sql(keys: list[str], whole: list[str], error: str, judged: tuple[str, ...]) -> str:
+    parts = ("full", "old", "new")
+    k, w = ", ".join(keys), ", ".join(whole)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in keys)
+    on = " AND ".join(f"e.{c} = s.{c}" for c in whole)
+    return f"""{WITH_FULL}, e AS (SELECT {k}, {", ".join(f"count(*) FILTER (WHERE part = '{p}') AS {p}_c" for p in parts)} FROM rows_ WHERE {error} AND {known} GROUP BY {k}),
+    s AS (SELECT {w}, {", ".join(f"count(*) FILTER (WHERE part = '{p}') AS {p}_all" for p in parts)} FROM rows_ WHERE {" AND ".join(f"{c} IS NOT NULL" for c in whole)} GROUP BY {w}),
+    j AS (SELECT {", ".join(f"e.{c}" for c in keys)}, {", ".join(f"CASE WHEN {p}_all > 0 THEN {p}_c END AS {p}_n, CASE WHEN {p}_all > 0 THEN round_even(100.0::DOUBLE * {p}_c / {p}_all, 2) END AS {p}_pct" for p in parts)}, full_c + old_c + new_c AS total FROM e JOIN s ON {on})
+    SELECT * FROM j WHERE ({" OR ".join(f"coalesce({p}_n > 10, false)" for p in judged)}) AND ({" OR ".join(f"coalesce({p}_pct > 1.0, false)" for p in judged)})"""
+
+
+def _right_wrong(tag: str) -> str:
+    return f"coalesce({tag}_str_g = {tag}_str_p, false) AND NOT coalesce({tag}_ud_g = {tag}_ud_p, false)"
+
+
+def _trip(tag: str, judged=("full", "old", "new")) -> str:
+    return _matrix_sql([f"{tag}_str_g", f"{tag}_ud_g", f"{tag}_ud_p"], [f"{tag}_str_g", f"{tag}_ud_g"], _right_wrong(tag), judged)
+
+
+@query(_trip("upos", ("old", "new")))
+def a1_morph_error_matrix(s, d):
+    return M.triplets(tokens(s, d), "upos", judged=("old", "new"))
+
+
+@query(_matrix_sql(["upos_ud_g", "upos_ud_p"], ["upos_ud_g"], "NOT coalesce(upos_ud_g = upos_ud_p, false)", ("full", "old", "new")))
+def a2_morph_duplets(s, d):
+    return M.duplets(tokens(s, d), "upos")
+
+
+@query(_trip("deprel"))
+def a3_syntax_error_matrix(s, d):
+    return M.triplets(tokens(s, d), "deprel")
+
+
+@query(_trip("deprel", ("full",)))
+def a4_cv_matrix(s, d):
+    return M.triplets(tokens(s, d), "deprel", judged=("full",))
+
+
+@query(WITH_FULL + """SELECT part AS subset, count(*) AS errors, count(*) FILTER (WHERE ok) AS clean, count(*) FILTER (WHERE NOT ok) AS noisy, round_even(100.0::DOUBLE * count(*) FILTER (WHERE ok) / count(*), 2) AS clean_pct
+FROM (SELECT part, coalesce(deprel_str_g = deprel_str_p, false) AS ok FROM rows_ WHERE NOT coalesce(deprel_ud_g = deprel_ud_p, false)) GROUP BY part""")
+def a12_noise_share(s, d):
+    return M.noise(tokens(s, d), "deprel")
+
+
+_RANK = WITH_FULL + """, e AS (SELECT part, deprel_str_g a, deprel_ud_g b, deprel_ud_p c, count(*) n FROM rows_ WHERE """ + _right_wrong("deprel") + """ GROUP BY ALL),
+w AS (SELECT part, deprel_str_g a, deprel_ud_g b, count(*) whole FROM rows_ GROUP BY ALL),
+j AS (SELECT part, a || '/' || b || '/' || c AS label, a, b, c, n, round_even(100.0::DOUBLE * n / whole, 2) AS pct FROM e JOIN w USING (part, a, b)),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, a, b, c) AS rank FROM j WHERE n >= 10 AND pct >= 1.0)
+SELECT rank, """ + ", ".join(f"max(label) FILTER (WHERE part = '{p}') AS {p}_label, max(n) FILTER (WHERE part = '{p}') AS {p}_n, max(pct) FILTER (WHERE part = '{p}') AS {p}_pct" for p in ("full", "old", "new")) + " FROM r WHERE rank <= 25 GROUP BY rank"
+
+
+@query(_RANK)
+def a13_rank_table(s, d):
+    return M.ranked(tokens(s, d), "deprel", 25)
+
+
+@query(f", m AS (SELECT * FROM ({_trip('deprel')[2:].replace('rows_ AS (SELECT *, unnest([subset, ' + chr(39) + 'full' + chr(39) + ']) AS part FROM tok),', 'WITH rows_ AS (SELECT *, unnest([subset, ' + chr(39) + 'full' + chr(39) + ']) AS part FROM tok),', 1)})), "
+       "o AS (SELECT *, deprel_str_g || deprel_ud_g || deprel_ud_p AS key FROM m), "
+       "p1 AS (SELECT *, row_number() OVER (ORDER BY new_n DESC NULLS LAST, deprel_str_g, deprel_ud_g, deprel_ud_p) AS rank FROM o), "
+       "p2 AS (SELECT * EXCLUDE (rank), row_number() OVER (ORDER BY old_n DESC NULLS LAST, deprel_str_g, deprel_ud_g, deprel_ud_p) AS rank FROM p1 WHERE rank > 5), "
+       "p3 AS (SELECT * EXCLUDE (rank), row_number() OVER (ORDER BY full_n DESC NULLS LAST, deprel_str_g, deprel_ud_g, deprel_ud_p) AS rank FROM p2 WHERE rank > 7) "
+       "SELECT * EXCLUDE (key), 1 AS step FROM p1 WHERE rank <= 5 UNION ALL SELECT * EXCLUDE (key), 2 FROM p2 WHERE rank <= 7 UNION ALL SELECT * EXCLUDE (key), 3 FROM p3 WHERE rank <= 20")
+def w11_cascaded_heads(s, d):
+    keys = ["deprel_str_g", "deprel_ud_g", "deprel_ud_p"]
+    return M.cascade(M.triplets(tokens(s, d), "deprel"), [("new_n", 5), ("old_n", 7), ("full_n", 20)], keys)
+
+
+@query("""SELECT subset, count(*) AS tokens, avg(u) AS upos, avg(f) AS feats, avg(u * f) AS all_tags FROM
+(SELECT subset, coalesce(upos_ud_g = upos_ud_p, false)::INT u, (feats_ud_g = feats_ud_p)::INT f FROM tok WHERE ellipsis = 0) GROUP BY subset""")
+def e1_tagging(s, d):
+    return metrics.tagging(pair(tokens(s, d), "ud"), "subset")
+
+
+_HEAD, _REL = "(head_ud_g = head_ud_p)", "(split_part(deprel_ud_g, ':', 1) = split_part(deprel_ud_p, ':', 1))"
+
+
+@query(f"SELECT subset, count(*) AS tokens, avg({_HEAD}::INT) AS uas, avg(({_HEAD} AND {_REL})::INT) AS las FROM tok GROUP BY subset")
+def e2_attachment(s, d):
+    return metrics.attachment(pair(tokens(s, d), "ud"), "subset")
+
+
+@query(f"""SELECT subset, count(*) AS sentences, avg(u) AS ucm, avg(l) AS lcm FROM (SELECT subset, sent_id, min((p OR {_HEAD})::INT) u, min((p OR ({_HEAD} AND {_REL}))::INT) l
+FROM (SELECT *, coalesce(upos_ud_g = 'PUNCT', false) AS p FROM tok) GROUP BY subset, sent_id) GROUP BY subset""")
+def e3_complete_match(s, d):
+    return metrics.complete_match(pair(tokens(s, d), "ud"), "subset")
+
+
+@query(f", h AS (SELECT sent_id, id AS head_ud_g FROM tok WHERE ellipsis = 1) SELECT subset, count(*) AS tokens, avg({_HEAD}::INT) AS uas, avg(({_HEAD} AND {_REL})::INT) AS las FROM tok SEMI JOIN h USING (sent_id, head_ud_g) GROUP BY subset")
+def e4_ellipsis_attachment(s, d):
+    return metrics.ellipsis_attachment(pair(tokens(s, d), "ud"), "subset")
+
+
+@query("SELECT subset, count(*) AS tokens, avg((head_ud_g = head_ud_p)::INT) AS uas, avg((head_ud_g = head_ud_p AND deprel_ud_g = deprel_ud_p)::INT) AS las FROM tok WHERE NOT coalesce(upos_ud_g = 'PUNCT', false) GROUP BY subset")
+def e5_attachment_full(s, d):
+    return metrics.attachment(pair(tokens(s, d), "ud"), "subset", full=True, punct=False)
+
+
+def _runs(t: DataFrame) -> DataFrame:
+    """Five runs whose predictions differ by a shift of k."""
+    r = t.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("kr", (F.col("k") + 13 * F.col("run")) % 1000)
+    return r.withColumn("head_a", F.expr("CASE WHEN kr % 9 = 0 THEN id - 1 ELSE head_ud_g END")).withColumn("head_b", F.expr("CASE WHEN kr % 10 = 0 THEN id - 1 ELSE head_ud_g END")).withColumn("deprel_r", F.expr("CASE WHEN kr % 7 = 0 THEN 'x' ELSE deprel_ud_g END"))
+
+
+_RUNS = ", runs AS (SELECT *, CASE WHEN kr % 9 = 0 THEN id - 1 ELSE head_ud_g END AS head_a, CASE WHEN kr % 10 = 0 THEN id - 1 ELSE head_ud_g END AS head_b, CASE WHEN kr % 7 = 0 THEN 'x' ELSE deprel_ud_g END AS deprel_r FROM (SELECT *, (k + 13 * run) % 1000 AS kr FROM tok, (SELECT unnest(range(1, 6)) AS run))) "
+
+
+@query(_RUNS + ", sc AS (SELECT subset, run, avg((head_ud_g = head_a)::INT) AS v FROM runs GROUP BY ALL) SELECT subset, count(*) AS runs, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS std FROM sc GROUP BY subset")
+def e6_a19_over_runs(s, d):
+    r = _runs(tokens(s, d))
+    return metrics.over_runs(r.groupBy("subset", "run").agg(F.avg((F.col("head_ud_g") == F.col("head_a")).cast("int")).alias("value")), "subset")
+
+
+@query(_RUNS + """, sc AS (SELECT subset, run, avg((head_ud_g = head_a)::INT) - avg((head_ud_g = head_b)::INT) AS x FROM runs GROUP BY ALL),
+st AS (SELECT subset, count(*) AS n, avg(x) AS mean_difference, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t FROM sc GROUP BY subset),
+p AS (SELECT *, 1 - abs(t) / sqrt(4 + t * t) * (1 + 2 / (4 + t * t)) AS p FROM st)
+SELECT subset, n, mean_difference, t, p, p < 0.05 AS significant FROM p""")
+def e7_paired_test(s, d):
+    r = _runs(tokens(s, d)).groupBy("subset", "run").agg(*[F.avg((F.col("head_ud_g") == F.col(f"head_{x}")).cast("int")).alias(x) for x in "ab"])
+    return metrics.paired_test(r, "subset")
+
+
+@query(_RUNS + "SELECT sent_id, id FROM runs GROUP BY ALL HAVING count(DISTINCT head_a) = 1 AND count(DISTINCT deprel_r) = 1")
+def a16_consistency(s, d):
+    return splits.consistent(_runs(tokens(s, d)).select("sent_id", "id", F.col("head_a").alias("head_p"), F.col("deprel_r").alias("deprel_p")))
+
+
+def _feat(col: str, name: str) -> str:
+    return f"coalesce(nullif(regexp_extract({col}, '(^|\\|){name}=([^|]*)', 2), ''), '∅')"
+
+
+@query("SELECT sent_id, id, " + ", ".join(f"{_feat('feats_ud_g', n)} AS {n.lower()}" for n in NAMES) + " FROM tok")
+def f3_feature_values(s, d):
+    return tokens(s, d).select("sent_id", "id", *[C.feature(F.col("feats_ud_g"), n).alias(n.lower()) for n in NAMES])
+
+
+@query("SELECT sent_id, id, array_to_string(list_sort(string_split(feats_ud_g, '|')), '|') AS feats FROM tok")
+def f2_normal_feats(s, d):
+    return tokens(s, d).select("sent_id", "id", C.normal_feats(F.col("feats_ud_g")).alias("feats"))
+
+
+_ERR = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {_feat('feats_ud_g', n)} <> {_feat('feats_ud_p', n)} THEN '{n}' END" for n in NAMES) + ", CASE WHEN NOT coalesce(upos_ud_g = upos_ud_p, false) THEN 'UPOS' END], lambda x: x IS NOT NULL)), ',')"
+
+
+@query(f"SELECT subset, errors, count(*) AS n FROM (SELECT subset, {_ERR} AS errors FROM tok) GROUP BY ALL")
+def a6_a7_error_sets(s, d):
+    e = signatures.error_set(F.col("feats_ud_g"), F.col("feats_ud_p"), F.col("upos_ud_g"), F.col("upos_ud_p"), NAMES, "UPOS")
+    return tokens(s, d).select("subset", F.array_join(e, ",").alias("errors")).groupBy("subset", "errors").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _signature_sql(control: bool) -> str:
+    part = []
+    gold = []
+    for n in NAMES:
+        sg, sp, ug, up = (_feat(f"feats_{x}", n) for x in ("str_g", "str_p", "ud_g", "ud_p"))
+        part.append(f"CASE WHEN {sg} <> '∅' AND {ug} <> '∅' AND {sg} {'<>' if control else '='} {sp} AND {ug} <> {up} THEN '{n}:' || {sg} || ':' || {ug} || ':' || {up} END")
+        gold.append(f"CASE WHEN {sg} <> '∅' AND {ug} <> '∅' THEN '{n}:' || {sg} || ':' || {ug} END")
+    return WITH_FULL + f""", q AS (SELECT part, list_sort(list_filter([{", ".join(part)}], lambda x: x IS NOT NULL)) AS sig, list_filter([{", ".join(gold)}], lambda x: x IS NOT NULL) AS gold FROM rows_),
+    f AS (SELECT part AS subset, sig, count(*) AS n FROM q WHERE len(sig) > 0 GROUP BY ALL), g AS (SELECT part AS subset, gold, count(*) AS m FROM q GROUP BY ALL)
+    SELECT f.subset, array_to_string(sig, ',') AS sig, any_value(n) AS n, sum(m)::BIGINT AS n_gold, round_even(100.0::DOUBLE * any_value(n) / sum(m), 1) AS pct
+    FROM f JOIN g ON f.subset = g.subset AND list_has_all(gold, list_transform(sig, lambda x: array_to_string(string_split(x, ':')[1:3], ':'))) GROUP BY f.subset, sig"""
+
+
+@query(_signature_sql(False))
+def a8_a11_j13_signatures(s, d):
+    return signatures.signature_table(tokens(s, d), NAMES)
+
+
+@query(_signature_sql(True))
+def a8_control_signatures(s, d):
+    return signatures.signature_table(tokens(s, d), NAMES, control=True)
+
+
+def _edge(x: str) -> str:
+    return f"{x} AS (SELECT sent_id, least(id, head_{x}_g) AS lo, greatest(id, head_{x}_g) AS hi, max(struct_pack(dep := id, head := head_{x}_g)) AS x FROM tok WHERE head_{x}_g > 0 GROUP BY ALL)"
+
+
+_STRICT = f""", {_edge("ud")}, {_edge("str")}, strict AS (SELECT ud.sent_id, ud.lo, ud.hi, ud.x.head AS head, ud.x.dep AS dep, str.x.head AS head_str, str.x.dep AS dep_str,
+CASE WHEN str.x IS NULL THEN 'unresolved' WHEN ud.x.head = str.x.head THEN 'same_dir' ELSE 'mirrored' END AS status FROM ud LEFT JOIN str USING (sent_id, lo, hi)) """
+
+
+@query(_STRICT + "SELECT * FROM strict")
+def t7_j14_strict(s, d):
+    return E.strict(*both_trees(s, d))
+
+
+@query(_STRICT + "SELECT sent_id, lo, hi FROM strict WHERE status = 'mirrored'")
+def j4_inverted_pairs(s, d):
+    return E.inverted(*both_trees(s, d))
+
+
+@query("SELECT sent_id, id FROM tok WHERE head_str_g <= 0 OR head_str_g IS NULL")
+def t3_roots(s, d):
+    return E.roots(tree(tokens(s, d), "str"))
+
+
+@query(_STRICT + """SELECT DISTINCT a.sent_id, least(a.head_ud_g, a.id) AS ud_lo, greatest(a.head_ud_g, a.id) AS ud_hi, least(a.head_ud_g, b.id) AS str_lo, greatest(a.head_ud_g, b.id) AS str_hi
+FROM tok a JOIN tok b ON a.sent_id = b.sent_id AND b.head_ud_g = a.id JOIN str p ON p.sent_id = a.sent_id AND p.lo = least(a.id, b.id) AND p.hi = greatest(a.id, b.id)
+JOIN str q ON q.sent_id = a.sent_id AND q.lo = least(a.head_ud_g, b.id) AND q.hi = greatest(a.head_ud_g, b.id) WHERE a.head_ud_g > 0""")
+def t8_chain_candidates(s, d):
+    return E.chain_candidates(*both_trees(s, d))
+
+
+@query(_STRICT + """SELECT DISTINCT m.sent_id, least(m.head, u.x.dep) AS ud_lo, greatest(m.head, u.x.dep) AS ud_hi, least(m.dep, u.x.dep) AS str_lo, greatest(m.dep, u.x.dep) AS str_hi
+FROM strict m JOIN ud u ON u.sent_id = m.sent_id AND u.x.head = m.head AND u.x.dep <> m.dep JOIN str q ON q.sent_id = m.sent_id AND q.lo = least(m.dep, u.x.dep) AND q.hi = greatest(m.dep, u.x.dep) WHERE m.status <> 'unresolved'""")
+def t9_bridge_candidates(s, d):
+    return E.bridge_candidates(*both_trees(s, d))
+
+
+@query()
+def t14_t15_extended(s, d):
+    return resolve.extended(*both_trees(s, d))
+
+
+@query(_STRICT + """SELECT count(*) AS tokens, count(*) FILTER (WHERE head_ud_g = 0) AS roots, count(*) FILTER (WHERE head_ud_g = 0 AND head_str_g = 0) AS roots_ok,
+count(*) FILTER (WHERE status = 'same_dir') AS same_dir, count(*) FILTER (WHERE status = 'mirrored') AS mirrored, count(*) FILTER (WHERE status = 'unresolved') AS unresolved
+FROM tok LEFT JOIN strict ON strict.sent_id = tok.sent_id AND strict.dep = tok.id""")
+def a15_coverage(s, d):
+    t = tokens(s, d)
+    flags = t.select("sent_id", "id", F.col("upos_ud_g").alias("upos"), (F.col("head_ud_g") == 0).alias("root_ud"), (F.col("head_str_g") == 0).alias("root_str"))
+    return E.coverage(flags, E.strict(tree(t, "ud"), tree(t, "str")))
+
+
+_COMPARE = _STRICT + """, cmp AS (SELECT t.sent_id, t.id, t.deprel_ud_g AS deprel, s.dep_str AS str_id, u.deprel_str_g AS deprel_str, coalesce(s.status, 'root') AS status
+FROM tok t LEFT JOIN strict s ON s.sent_id = t.sent_id AND s.dep = t.id LEFT JOIN tok u ON u.sent_id = t.sent_id AND u.id = s.dep_str) """
+
+
+@query(_COMPARE + "SELECT * FROM cmp")
+def t26_comparison(s, d):
+    return E.comparison(*both_trees(s, d))
+
+
+@query(_COMPARE + "SELECT deprel_str, deprel, count(*) AS n FROM cmp WHERE str_id IS NOT NULL GROUP BY ALL")
+def a14_label_confusion(s, d):
+    return E.comparison(*both_trees(s, d)).where("str_id is not null").groupBy("deprel_str", "deprel").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _closure(x: str) -> str:
+    return f"""{x}_up AS (SELECT sent_id, id, head_{x}_g AS anc, 1::BIGINT AS d FROM tok WHERE head_{x}_g > 0
+    UNION ALL SELECT c.sent_id, c.id, t.head_{x}_g, c.d + 1 FROM {x}_up c JOIN tok t ON t.sent_id = c.sent_id AND t.id = c.anc WHERE t.head_{x}_g > 0)"""
+
+
+@query(f", {_closure('ud')} SELECT * FROM ud_up")
+def t4_ancestors(s, d):
+    return E.ancestors(tree(tokens(s, d), "ud"))
+
+
+@query(f""", {_closure('ud')}, {_closure('str')}, j AS (SELECT s.sent_id, s.id, s.anc, s.d FROM (SELECT * FROM str_up UNION ALL SELECT sent_id, id, id, 0 FROM tok) s SEMI JOIN ud_up u USING (sent_id, id, anc))
+SELECT sent_id, id, min_by(anc, d) AS lca, min(d) AS d FROM j GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY sent_id, id"))
+def t5_cross_lca(s, d):
+    return E.cross_lca(*both_trees(s, d))
+
+
+@query(f""", {_closure('str')} SELECT t.sent_id, count(*) AS tokens, count(*) FILTER (WHERE head_str_g = 0) AS roots, count(*) FILTER (WHERE head_str_g = t.id) AS self_loops,
+count(*) FILTER (WHERE head_str_g > n OR head_str_g < 0) AS bad_heads, count(*) - count(*) FILTER (WHERE head_str_g = 0) - count(r.id) AS unreachable,
+count(*) FILTER (WHERE head_str_g = 0) = 1 AND count(*) FILTER (WHERE head_str_g = t.id) = 0 AND count(*) FILTER (WHERE head_str_g > n OR head_str_g < 0) = 0 AND count(*) - count(*) FILTER (WHERE head_str_g = 0) - count(r.id) = 0 AS is_tree
+FROM tok t LEFT JOIN (SELECT DISTINCT u.sent_id, u.id FROM str_up u JOIN tok z ON z.sent_id = u.sent_id AND z.id = u.anc AND z.head_str_g = 0) r ON r.sent_id = t.sent_id AND r.id = t.id GROUP BY t.sent_id""")
+def t1_validity(s, d):
+    return E.validity(tree(tokens(s, d), "str"))
+
+
+@query("SELECT sent_id, head_ud_g AS id, string_agg(id::VARCHAR, ',' ORDER BY id) AS dependents FROM tok WHERE head_ud_g > 0 GROUP BY ALL")
+def t37_k5_dependents(s, d):
+    return E.dependents(tree(tokens(s, d), "ud"))
+
+
+@query(_STRICT + """, m AS (SELECT sent_id, dep AS ud_id, dep_str AS str_id FROM strict WHERE dep_str IS NOT NULL),
+top AS (SELECT a.sent_id, a.i AS ud_id, b.i AS str_id FROM (SELECT sent_id, min(id) i FROM tok WHERE head_ud_g = 0 GROUP BY ALL HAVING count(*) = 1) a JOIN (SELECT sent_id, min(id) i FROM tok WHERE head_str_g = 0 GROUP BY ALL HAVING count(*) = 1) b USING (sent_id)
+  WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.sent_id = a.sent_id AND m.ud_id = a.i)), al AS (SELECT * FROM m UNION ALL SELECT * FROM top)
+SELECT sent_id, ud_id, str_id FROM (SELECT *, count(*) OVER (PARTITION BY sent_id, str_id) AS c FROM al) WHERE c = 1""")
+def t27_alignment(s, d):
+    return E.alignment(*both_trees(s, d))
+
+
+@query("SELECT a.sent_id, a.id, a.form, b.form AS head_form, b.upos_ud_g AS head_upos FROM tok a LEFT JOIN tok b ON a.sent_id = b.sent_id AND a.head_ud_g = b.id WHERE NOT coalesce(a.deprel_ud_g = a.deprel_ud_p, false)")
+def j3_e8_mismatch_listing(s, d):
+    t = tokens(s, d)
+    heads = t.select("sent_id", F.col("id").alias("head_ud_g"), F.col("form").alias("head_form"), F.col("upos_ud_g").alias("head_upos"))
+    return t.where(C.wrong(F.col("deprel_ud_g"), F.col("deprel_ud_p"))).join(heads, ["sent_id", "head_ud_g"], "left").select("sent_id", "id", "form", "head_form", "head_upos")
+
+
+@query("SELECT deprel_ud_g AS deprel, sent_id, id FROM (SELECT *, row_number() OVER (PARTITION BY deprel_ud_g ORDER BY sent_id, id) AS r FROM tok) WHERE r <= 3")
+def w5_first_per_label(s, d):
+    w = Window.partitionBy("deprel_ud_g").orderBy("sent_id", "id")
+    return tokens(s, d).select("deprel_ud_g", "sent_id", "id").withColumn("r", F.row_number().over(w)).where("r <= 3").select(F.col("deprel_ud_g").alias("deprel"), "sent_id", "id")
+
+
+def _sentences(s, d):
+    return tokens(s, d).where("id = 1").select("sent_id", "doc_id", "ln", "seg", "subset", "n")
+
+
+@query("SELECT sent_id, ntile(8) OVER (ORDER BY doc_id, ln, seg) AS fold FROM tok WHERE id = 1")
+def w6_folds(s, d):
+    return splits.folds(_sentences(s, d), 8, "doc_id", "ln", "seg").select("sent_id", "fold")
+
+
+@query("SELECT dataset, CASE WHEN fold = dataset THEN 'test' ELSE 'train' END AS role, count(*) AS sentences FROM (SELECT ntile(8) OVER (ORDER BY doc_id, ln, seg) AS fold FROM tok WHERE id = 1), (SELECT unnest(range(1, 9)) AS dataset) GROUP BY ALL")
+def w7_cross_validation(s, d):
+    f = splits.folds(_sentences(s, d), 8, "doc_id", "ln", "seg")
+    return splits.cross_validation(f, 8).groupBy("dataset", "role").agg(F.count(F.lit(1)).alias("sentences")).withColumn("dataset", F.col("dataset").cast("long"))
+
+
+@query()
+def w8_shuffle_split(s, d):
+    return splits.shuffled(_sentences(s, d)).groupBy("split").agg(F.count(F.lit(1)).alias("sentences"))
+
+
+@query("SELECT subset, count(*) AS tokens, count(*) FILTER (WHERE id = 1) AS sentences, count(*) FILTER (WHERE ellipsis = 1) AS ellipses FROM tok GROUP BY subset")
+def a17_counters(s, d):
+    return tokens(s, d).groupBy("subset").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("id") == 1).alias("sentences"), F.count_if(F.col("ellipsis") == 1).alias("ellipses"))
+
+
+@query("SELECT form AS sent_id, count(*) AS n FROM tok GROUP BY form HAVING count(*) > 1")
+def a18_repeated_ids(s, d):
+    return splits.repeated_ids(tokens(s, d).select(F.col("form").alias("sent_id")))
+
+
+@query("SELECT doc_id, ln, seg, ellipsis, n, row_number() OVER (PARTITION BY doc_id ORDER BY ln, seg) AS ord, sum(new_) OVER (PARTITION BY doc_id ORDER BY ln, seg) AS package FROM (SELECT *, CASE WHEN lag(ellipsis) OVER (PARTITION BY doc_id ORDER BY ln, seg) IS NOT DISTINCT FROM ellipsis THEN 0 ELSE 1 END AS new_ FROM tok WHERE id = 1)")
+def w1_w2_packages(s, d):
+    first = tokens(s, d).where("id = 1").select("doc_id", "ln", "seg", "ellipsis", "n")
+    return splits.packages(first, "ellipsis", "ln", "seg", by="doc_id").withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("ln", "seg")))
+
+
+@query("SELECT sent_id, id, form, upos_ud_g AS upos, feats_ud_g AS feats, head_ud_g AS head, deprel_ud_g AS deprel FROM tok")
+def s1_k1_conllu_round_trip(s, d):
+    t = tokens(s, d).select("sent_id", "id", "form", F.col("upos_ud_g").alias("upos"), F.col("feats_ud_g").alias("feats"), F.col("head_ud_g").alias("head"), F.col("deprel_ud_g").alias("deprel"))
+    back = conllu.parse_tokens(conllu.to_blocks(t).select("block"))
+    return back.select("sent_id", "id", "form", "upos", "feats", "head", "deprel")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v.replace("WITH lines", "WITH RECURSIVE lines", 1) for k, v in ORACLES.items()}
