@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """base**i for i < n modulo 2**64, or those of the base's inverse."""
     kind = "inverse" if inverse else "base"
-    if len(_POWERS.get(kind, ())) < n:
+    if kind not in _POWERS or len(_POWERS[kind]) < n:
         p = np.full(max(n, CHUNK + (CHUNK >> 2)), pow(_BASE, -1, 2**64) if inverse else _BASE, np.uint64)
         p[0] = 1
         _POWERS[kind] = np.cumprod(p, dtype=np.uint64)
