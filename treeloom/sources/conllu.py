@@ -10,7 +10,7 @@ FIELDS = ["id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "dep
 
 def read_blocks(spark: SparkSession, path: str, pattern: str = "*.conllu") -> DataFrame:
     """(file, block_no, block): a sentence each, split at empty lines; files are read whole, many at once."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     files = files.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("value"))
     blocks = files.select("file", F.posexplode(F.split("value", r"\n{2,}")).alias("block_no", "block"))
     return blocks.withColumn("block", F.trim("block", F.lit("\n"))).where("block <> ''")
