@@ -382,7 +382,11 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_
         labelled = _mixed(shared, roots)
         popular = labelled.groupBy("c").agg(F.sum("m").alias("met"))
         pivots = labelled.join(popular, "c").groupBy("sh").agg(F.max(F.struct("met", "c", "label")).alias("p"))
-        stars = labelled.join(pivots, "sh").where("label <> p.label").select(F.least("c", "p.c").alias("u"), F.greatest("c", "p.c").alias("v")).distinct()
+        # a second star joins what the first pivot leaves apart, as when two families of copies meet in a group
+        apart = labelled.join(pivots, "sh").where("label <> p.label")
+        second = apart.groupBy("sh").agg(F.min(F.struct("c", "label")).alias("q"))
+        ends = lambda x: (F.least("c", x).alias("u"), F.greatest("c", x).alias("v"))
+        stars = apart.select(*ends("p.c")).unionByName(apart.join(second, "sh").where("label <> q.label").select(*ends("q.c"))).distinct()
         stars = keep(stars, "join-stars")
         more = verified(docs, classes, stars, width, percent)
         sure = keep(sure.unionByName(more), "join-sure")
