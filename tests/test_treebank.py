@@ -80,3 +80,22 @@ def test_treebank_xml(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).columns
     assert os.path.exists(SF) and len(entry.queries()) >= 40
+
+
+def test_candidate_families(spark):
+    from treeloom.operators import candidates as K
+
+    pairs = lambda df: {tuple(r)[1:] for r in df.select(*K.KEY).collect()}
+    t = trees(spark, [0, 1, 2], [0, 3, 1])
+    assert pairs(K.mirror_relative(*t)) == {(1, 2, 1, 3)}
+    assert pairs(K.root_path(*trees(spark, [0, 1, 1], [2, 0, 2]))) == {(1, 3, 2, 3)}
+    assert pairs(K.order_residual(*trees(spark, [0, 1, 1], [0, 1, 2]))) == {(1, 3, 2, 3)}
+    assert pairs(K.mirror_swap(*trees(spark, [0, 1, 2, 1], [0, 3, 4, 1]))) == {(1, 2, 3, 4)}
+
+
+def test_restored_forms(spark):
+    from treeloom.operators.ellipsis import restore_forms
+
+    target = spark.createDataFrame([("s", 1, "_", "_"), ("s", 2, "_", "A=1"), ("s", 3, "x", "_"), ("n", 1, "_", None)], "sent_id string, id int, form string, misc string")
+    ref = spark.createDataFrame([("s", 1, "a", 1), ("s", 2, "b", 1), ("s", 1, "late", 2)], "sent_id string, id int, form string, split_ord int")
+    assert sorted(map(tuple, restore_forms(target, ref).collect()), key=str) == [("n", 1, "_", None), ("s", 1, "a", "Ellipsis=Yes"), ("s", 2, "b", "A=1|Ellipsis=Yes"), ("s", 3, "x", "_")]

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import candidates as K
 from ..operators import edges as E
 from ..operators import error_matrix as M
-from ..operators import metrics, resolve, signatures, splits
+from ..operators import ellipsis, metrics, resolve, signatures, splits
 from ..sources import conllu
 from .fixture import SQL, tokens, tree
 
@@ -373,6 +374,83 @@ def s1_k1_conllu_round_trip(s, d):
     return back.select("sent_id", "id", "form", "upos", "feats", "head", "deprel")
 
 
+#: A str tree with more mirrored edges than the fixture's: tokens 4 and 8 change places, in every other line with 8 as the root.
+TURNED = """CASE WHEN n < 8 THEN head_str_g WHEN ln % 2 = 0 THEN CASE id WHEN 4 THEN 8 WHEN 8 THEN 5 ELSE head_str_g END
+ELSE CASE id WHEN 8 THEN 0 WHEN 4 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE head_str_g END END"""
+
+
+def turned_trees(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = tokens(s, d)
+    return tree(t, "ud"), t.select("sent_id", "id", F.expr(TURNED).alias("head"), F.col("deprel_str_g").alias("deprel"), F.col("upos_str_g").alias("upos"))
+
+
+_PAIRED = "least({0}, {1}) AS ud_lo, greatest({0}, {1}) AS ud_hi, least({2}, {3}) AS str_lo, greatest({2}, {3}) AS str_hi"
+_OTHER = "NOT (least({0}, {1}) = least({2}, {3}) AND greatest({0}, {1}) = greatest({2}, {3}))"
+_TURNED = f""", tt AS (SELECT sent_id, id, head_ud_g AS uh, {TURNED} AS th, upos_ud_g AS uu, upos_str_g AS tu FROM tok),
+u AS (SELECT sent_id, uh AS h, id AS d, uu AS pos, least(id, uh) AS lo, greatest(id, uh) AS hi FROM tt WHERE uh > 0),
+t AS (SELECT sent_id, th AS h, id AS d, tu AS pos, least(id, th) AS lo, greatest(id, th) AS hi FROM tt WHERE th > 0),
+sm AS (SELECT u.sent_id, u.h, u.d, u.lo, u.hi, u.pos, CASE WHEN t.h IS NULL THEN 'unresolved' WHEN t.h = u.h THEN 'same_dir' ELSE 'mirrored' END AS status FROM u LEFT JOIN t USING (sent_id, lo, hi)),
+uc AS (SELECT sent_id, d AS id, h AS anc FROM u UNION ALL SELECT c.sent_id, c.id, u.h FROM uc c JOIN u ON u.sent_id = c.sent_id AND u.d = c.anc),
+tc AS (SELECT sent_id, d AS id, h AS anc FROM t UNION ALL SELECT c.sent_id, c.id, t.h FROM tc c JOIN t ON t.sent_id = c.sent_id AND t.d = c.anc),
+mirror_swap AS (SELECT DISTINCT e.sent_id, {_PAIRED.format("e.h", "e.d", "i.h", "i.d")} FROM sm e JOIN sm m ON m.sent_id = e.sent_id AND m.h = e.d AND m.status = 'mirrored'
+  JOIN t i ON i.sent_id = e.sent_id AND i.d = m.d JOIN sm b ON b.sent_id = e.sent_id AND b.lo = least(e.h, i.h) AND b.hi = greatest(e.h, i.h) AND b.status <> 'unresolved'
+  WHERE e.status = 'unresolved' AND {_OTHER.format("e.h", "e.d", "i.h", "i.d")}),
+mirror_relative AS (SELECT DISTINCT e.sent_id, {_PAIRED.format("e.h", "e.d", "i.h", "i.d")} FROM sm m JOIN u e ON e.sent_id = m.sent_id AND e.d = m.h
+  JOIN t i ON i.sent_id = m.sent_id AND (i.d = m.d OR (i.h = m.d AND i.d = e.h)) WHERE m.status = 'mirrored' AND {_OTHER.format("e.h", "e.d", "i.h", "i.d")}
+  UNION SELECT e.sent_id, {_PAIRED.format("e.h", "e.d", "c.h", "c.d")} FROM sm m JOIN t c ON c.sent_id = m.sent_id AND c.h = m.h JOIN u e ON e.sent_id = m.sent_id
+  JOIN sm b ON b.sent_id = m.sent_id AND b.lo = least(e.h, c.d) AND b.hi = greatest(e.h, c.d) AND b.status = 'same_dir'
+  WHERE m.status = 'mirrored' AND {_OTHER.format("e.h", "e.d", "c.h", "c.d")} AND (e.d = m.h OR EXISTS (SELECT 1 FROM uc WHERE uc.sent_id = m.sent_id AND uc.id = m.h AND uc.anc = e.d))),
+tops AS (SELECT sent_id, min(id) FILTER (WHERE uh = 0) AS r, min(id) FILTER (WHERE th = 0) AS top FROM tt GROUP BY sent_id HAVING count(*) FILTER (WHERE uh = 0) = 1 AND count(*) FILTER (WHERE th = 0) = 1),
+pth AS (SELECT o.sent_id, o.r, c.anc AS x FROM tops o JOIN tc c ON c.sent_id = o.sent_id AND c.id = o.r WHERE o.r <> o.top AND EXISTS (SELECT 1 FROM tc z WHERE z.sent_id = o.sent_id AND z.id = o.r AND z.anc = o.top)),
+mem AS (SELECT sent_id, x AS y FROM pth UNION SELECT sent_id, r FROM pth),
+arc AS (SELECT p.sent_id, p.r, t.h, t.d, CASE WHEN mem.y IS NULL THEN t.d ELSE t.h END AS o FROM pth p JOIN t ON t.sent_id = p.sent_id AND t.h = p.x LEFT JOIN mem ON mem.sent_id = t.sent_id AND mem.y = t.d),
+root_path AS (SELECT DISTINCT a.sent_id, {_PAIRED.format("a.r", "a.o", "a.h", "a.d")} FROM arc a JOIN u ON u.sent_id = a.sent_id AND u.lo = least(a.r, a.o) AND u.hi = greatest(a.r, a.o) WHERE {_OTHER.format("a.r", "a.o", "a.h", "a.d")}),
+ra AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY d, h) - 1 AS i, count(*) OVER (PARTITION BY sent_id) AS m FROM sm WHERE status = 'unresolved' AND coalesce(pos, '') <> 'PUNCT'),
+rb AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY d, h) - 1 AS j, count(*) OVER (PARTITION BY sent_id) AS n FROM t ANTI JOIN sm ON sm.sent_id = t.sent_id AND sm.lo = t.lo AND sm.hi = t.hi WHERE coalesce(pos, '') <> 'PUNCT'),
+rc AS (SELECT ra.sent_id, ra.lo AS ud_lo, ra.hi AS ud_hi, rb.lo AS str_lo, rb.hi AS str_hi, j, m, n, CASE WHEN m = 1 THEN (n - 1) / 2.0::DOUBLE ELSE (i * (n - 1))::DOUBLE / (m - 1) END AS c FROM ra JOIN rb USING (sent_id)),
+order_residual AS (SELECT sent_id, ud_lo, ud_hi, str_lo, str_hi FROM rc WHERE j BETWEEN round_even(c, 0) - 1 AND round_even(c, 0) + 1 OR (m <> n AND j IN (floor(c), floor(c + 0.999999::DOUBLE)))) """
+
+
+@query(_TURNED + "SELECT * FROM mirror_swap")
+def t10_mirror_swap(s, d):
+    return K.mirror_swap(*turned_trees(s, d))
+
+
+@query(_TURNED + "SELECT * FROM mirror_relative")
+def t11_mirror_relative(s, d):
+    return K.mirror_relative(*turned_trees(s, d))
+
+
+@query(_TURNED + "SELECT * FROM root_path")
+def t12_root_path(s, d):
+    return K.root_path(*turned_trees(s, d))
+
+
+@query(_TURNED + "SELECT * FROM order_residual")
+def t13_w10_order_residual(s, d):
+    return K.order_residual(*turned_trees(s, d))
+
+
+_FAMILIES = ["mirror_swap", "mirror_relative", "root_path", "order_residual"]
+
+
+@query(_TURNED + ", ev AS (SELECT sent_id, ud_lo, ud_hi, str_lo, str_hi, string_agg(source, ',' ORDER BY source) AS sources FROM (" + " UNION ALL ".join(f"SELECT *, '{f}' AS source FROM {f}" for f in _FAMILIES) + """) GROUP BY ALL)
+SELECT *, CASE WHEN contains(sources, 'mirror_relative') OR contains(sources, 'root_path') OR sources = 'order_residual' THEN 'heuristic' ELSE 'strict' END AS certification FROM ev""")
+def t25_certified_candidates(s, d):
+    trees = turned_trees(s, d)
+    got = K.evidence({f: getattr(K, f)(*trees) for f in _FAMILIES})
+    return got.withColumn("certification", K.certification(F.col("sources"))).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("""SELECT sent_id, id, CASE WHEN ellipsis = 1 AND form <> '_' AND NOT (k % 3 = 0 AND id > 5) THEN CASE WHEN k % 5 = 0 THEN 'dev' ELSE form END WHEN ellipsis = 1 THEN '_' ELSE form END AS form,
+CASE WHEN ellipsis = 1 AND form <> '_' AND NOT (k % 3 = 0 AND id > 5) THEN CASE k % 3 WHEN 0 THEN 'Ellipsis=Yes' WHEN 1 THEN 'A=1|Ellipsis=Yes' ELSE 'Ellipsis=Yes' END ELSE CASE k % 3 WHEN 0 THEN '_' WHEN 1 THEN 'A=1' ELSE 'Ellipsis=Yes' END END AS misc FROM tok""")
+def t34_j10_restored_forms(s, d):
+    t = tokens(s, d)
+    target = t.selectExpr("sent_id", "id", "CASE WHEN ellipsis = 1 THEN '_' ELSE form END AS form", "CASE k % 3 WHEN 0 THEN '_' WHEN 1 THEN 'A=1' ELSE 'Ellipsis=Yes' END AS misc")
+    first = t.where("NOT (k % 3 = 0 AND id > 5)").selectExpr("sent_id", "id", "CASE WHEN k % 5 = 0 THEN 'dev' ELSE form END AS form", "1 AS split_ord")
+    return ellipsis.restore_forms(target, first.unionByName(t.selectExpr("sent_id", "id", "'later' AS form", "2 AS split_ord")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
