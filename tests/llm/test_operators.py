@@ -148,6 +148,23 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_large_benchmark(spark):
+    rng = np.random.default_rng(8)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 60, n)]
+    for n in (200, 2000):
+        # a run of frequent words, of which the other words of an item leave little weight
+        items = [[f"a{i}x{k}" for k in range(12)] + make(14) + [f"b{i}x{k}" for k in range(12)] for i in range(n)]
+        rows = [(i, " ".join(make(80) + items[i * n // 60][12:26] + make(80))) for i in range(60)]
+        bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+        got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        runs = {}
+        for i, x in enumerate(items):
+            for j in range(len(x) - 12):
+                runs.setdefault(tuple(x[j : j + 13]), set()).add(i)
+        want = {(d, i) for d, t in rows for w in [t.split()] for j in range(len(w) - 12) for i in runs.get(tuple(w[j : j + 13]), ())}
+        assert len(want) >= 60 and want <= {(r["doc_id"], r["item_id"]) for r in got if r["verbatim_words"] >= 13}
+
+
 def test_digest_of_kept_text(spark):
     one = line_dedup.dedup_lines(spark.createDataFrame([(1, "x\ny")], "doc_id long, text string")).select(F.sha2(F.col("deduped.text").cast("binary"), 256)).first()[0]
     assert one == hashlib.sha256(b"x\ny").hexdigest()

@@ -5,11 +5,12 @@
    sketch Y = A W is made orthonormal by the Cholesky factor of Y'Y (a sum of small squares), B = Q'A is summed by word, and the
    eigenvectors of BB' turn it into the latent axes.
 3. Documents are scanned: runs of windows whose weight lies mostly on benchmark words become regions, a region's TF-IDF vector is
-   projected, and items with enough cosine are its candidates.
+   projected, and items with enough cosine are its candidates. Runs of ``verbatim`` words are looked up exactly, whatever the cosine.
 4. A candidate is a hit if the longest common subsequence of words covers ``min_lcs`` of the item and the answer (the item's last
    quarter, or its own column) is covered by half; or if ``verbatim`` words or more stand in the region in one run.
 
-The benchmark is taken in blocks of at most ``BLOCK`` items and ``BLOCK_BYTES`` bytes; what goes to the tasks for a block is bounded by that.
+The benchmark is taken in scans of about ``BLOCK`` items and ``BLOCK_BYTES`` bytes; what goes to the tasks for a scan is bounded by that.
+A scan's items lie in latent blocks of about ``rank`` items, and a block has as many axes as items: no part of an item is left out.
 Documents never move; hits are rows (document, item). Words are letters and digits, A-Z folded. Null or empty texts and items have no
 words and no hits; repeated rows each have theirs; an empty benchmark gives none.
 """
@@ -152,27 +153,101 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Index:
-    """One block of items: words, answers and latent vectors, and what is needed to project a region."""
+    """One latent block of items, the first at ``start`` of all, and what is needed to project a region."""
 
-    def __init__(self, ids: list, words: list[np.ndarray], answers: list[np.ndarray], idf: np.ndarray, bins: np.ndarray, axes: np.ndarray):
-        self.ids, self.words, self.answers, self.idf = ids, words, answers, idf.astype(np.float32)
-        self.bins, self.axes = bins, axes.astype(np.float32)
+    def __init__(self, start: int, words: list[np.ndarray], idf: np.ndarray, bins: np.ndarray, axes: np.ndarray):
+        self.start, self.idf, self.bins, self.axes = start, idf.astype(np.float32), bins, axes.astype(np.float32)
         rows = [self.project(w) for w in words]
         self.items = np.stack(rows) if rows else np.zeros((0, axes.shape[1]), np.float32)
 
     def project(self, words: np.ndarray) -> np.ndarray:
-        """Latent coordinates, divided by the length of the whole TF-IDF vector: what benchmark words do not explain counts against it."""
+        """Latent coordinates of length 1: with as many axes as items an item's own are all of its vector, and words of no item do not count."""
         b, times = np.unique(_bin(words), return_counts=True)
         v = times * self.idf[b]
         at = np.minimum(np.searchsorted(self.bins, b), len(self.bins) - 1)
         known = self.bins[at] == b
-        return (v[known] @ self.axes[at[known]] / max(np.sqrt((v**2).sum()), 1e-12)).astype(np.float32)
-
-
-def regions(h: np.ndarray, rows: np.ndarray, index: Index, min_share: float) -> Iterator[tuple[int, int]]:
+        x = v[known] @ self.axes[at[known]]
+        return (x / max(np.sqrt((x**2).sum()), 1e-12)).astype(np.float32)
+
+
+class Runs:
+    """Every run of ``verbatim`` words of the items (of all words of a shorter item), to be looked up in texts."""
+
+    def __init__(self, words: list[np.ndarray], verbatim: int):
+        by_width: dict[int, tuple[list, list]] = {}
+        for i, w in enumerate(words):
+            keys, items = by_width.setdefault(min(verbatim, len(w)), ([], []))
+            key = np.unique(self.hashes(w, min(verbatim, len(w))))
+            keys.append(key)
+            items.append(np.full(len(key), i))
+        self.tables = {}
+        for width, (keys, items) in by_width.items():
+            key, item = np.concatenate(keys), np.concatenate(items)
+            order = np.argsort(key, kind="stable")
+            self.tables[width] = key[order], item[order]
+
+    @staticmethod
+    def hashes(h: np.ndarray, width: int) -> np.ndarray:
+        acc = np.zeros(max(len(h) - width + 1, 0), np.uint64)
+        for j in range(width):
+            acc = acc * vec.U(0xC2B2AE3D27D4EB4F) + h[j : j + len(acc)]
+        return vec.mix(acc)
+
+    def find(self, h: np.ndarray, rows: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(position, item, width) of every run; ``known`` marks words that some item has."""
+        sums = np.append(0, np.cumsum(known))
+        for width, (keys, items) in self.tables.items():
+            if len(h) < width:
+                continue
+            at = np.flatnonzero((sums[width:] - sums[:-width] == width) & (rows[: len(h) - width + 1] == rows[width - 1 :]))
+            got = self.hashes(h, width)[at]
+            left, right = np.searchsorted(keys, got), np.searchsorted(keys, got, "right")
+            for k in np.flatnonzero(right > left).tolist():
+                for j in range(left[k], right[k]):
+                    yield int(at[k]), int(items[j]), width
+
+
+class Items:
+    """All items of a scan: words, answers, runs and latent blocks."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], answers: list[np.ndarray], blocks: list[Index], verbatim: int):
+        self.ids, self.words, self.answers, self.blocks, self.runs = ids, words, answers, blocks, Runs(words, verbatim)
+        self.vocabulary = np.unique(np.concatenate(words))
+        self.numbers = [np.searchsorted(self.vocabulary, w) for w in words]
+        self.bins = np.unique(np.concatenate([x.bins for x in blocks]))
+
+    def reach(self, item: int) -> int:
+        """How many words of a text an item's copy may take."""
+        return REGION
+
+    def cosine(self, item: int, words: np.ndarray) -> float:
+        block = next(x for x in reversed(self.blocks) if x.start <= item)
+        return float(block.project(words) @ block.items[item - block.start])
+
+    def judge(self, item: int, h: np.ndarray, number: np.ndarray, lo: int, hi: int, min_lcs: float, sure: bool) -> tuple[float, float, int] | None:
+        """Cosine, LCS share and longest run of the best window of words ``lo`` to ``hi``, if one is a hit or ``sure``.
+
+        Windows hold ``reach`` words and ``2 * WINDOW`` more, one begins every ``2 * WINDOW`` words: any range of ``reach`` words lies in one.
+        """
+        words, answer, best = self.words[item], self.answers[item], None
+        if not sure:
+            # the longest common subsequence has no more words than are there at all
+            there = np.isin(self.numbers[item], number[lo:hi]).sum() / len(words)
+            if there < min_lcs or common_subsequence(words, h[lo:hi]) / len(words) < min_lcs:
+                return None
+        size = self.reach(item) + 2 * WINDOW
+        for s in range(lo, max(hi - size, lo) + 2 * WINDOW, 2 * WINDOW):
+            window = h[s : min(s + size, hi)]
+            share = common_subsequence(words, window) / len(words)
+            if (best is None or share > best[0]) and (sure or (share >= min_lcs and common_subsequence(answer, window) / max(len(answer), 1) >= 0.5)):
+                best = share, window
+        return best and (self.cosine(item, best[1]), best[0], longest_run(words, best[1]))
+
+
+def regions(h: np.ndarray, rows: np.ndarray, index: Items, min_share: float) -> Iterator[tuple[int, int]]:
     """Word ranges, of at most ``REGION`` words, in which the weight lies on benchmark words."""
     b = _bin(h)
-    energy = index.idf[b].astype(np.float64) ** 2
+    energy = index.blocks[0].idf[b].astype(np.float64) ** 2
     known = np.zeros(1 << BITS, bool)
     known[index.bins] = True
     all_, own = np.append(0, np.cumsum(energy)), np.append(0, np.cumsum(energy * known[b]))
@@ -197,35 +272,40 @@ def regions(h: np.ndarray, rows: np.ndarray, index: Index, min_share: float) ->
         i = j + 1
 
 
-def _scan(index: Index, min_share: float, min_cosine: float, min_lcs: float, verbatim: int):
-    norms = np.maximum(np.sqrt((index.items**2).sum(1)), 1e-6)
-
+def _scan(items: Items, min_share: float, min_cosine: float, min_lcs: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in vec.chunks(batch, "text"):
                 h, rows = _tokens(buf, offs)
                 if not len(h):
                     continue
+                number = np.minimum(np.searchsorted(items.vocabulary, h), len(items.vocabulary) - 1)
+                known = items.vocabulary[number] == h
+                number[~known] = -1
                 found: dict[tuple[int, int], tuple[float, float, int]] = {}
-                spans = list(regions(h, rows, index, min_share))
+
+                def look(item: int, first: int, last: int, sure: bool = False) -> None:
+                    """Judge what lies within the item's reach of words ``first`` to ``last``."""
+                    doc, reach = int(rows[first]), items.reach(item)
+                    lo, hi = max(first - reach, int(np.searchsorted(rows, doc))), min(last + reach, int(np.searchsorted(rows, doc, "right")))
+                    got, old = items.judge(item, h, number, lo, hi, min_lcs, sure), found.get((doc, item))
+                    if got and (old is None or got[1:] > old[1:]):
+                        found[doc, item] = got
+
+                past: dict[tuple[int, int], int] = {}
+                for at, item, width in items.runs.find(h, rows, known):
+                    if at >= past.get((int(rows[at]), item), 0):
+                        past[int(rows[at]), item] = at + items.reach(item)
+                        look(item, at, at + width, True)
+                spans = list(regions(h, rows, items, min_share))
                 for k in range(0, len(spans), 512):
                     some = spans[k : k + 512]
-                    cosine = np.stack([index.project(h[a:b]) for a, b in some]) @ index.items.T / norms
-                    for r, item in zip(*np.nonzero(cosine >= min_cosine), strict=True):
-                        (a, b), words, answer = some[r], index.words[item], index.answers[item]
-                        doc = int(rows[a])
-                        # the region's edges are as coarse as its windows: look a little further
-                        lo, hi = max(a - WINDOW, int(np.searchsorted(rows, doc))), min(b + WINDOW, int(np.searchsorted(rows, doc, "right")))
-                        region = h[lo:hi]
-                        share = common_subsequence(words, region) / len(words)
-                        said = common_subsequence(answer, region) / max(len(answer), 1)
-                        run_ = longest_run(words, region)
-                        if (share >= min_lcs and said >= 0.5) or run_ >= min(verbatim, len(words)):
-                            best = found.get((doc, item))
-                            if best is None or share > best[1]:
-                                found[doc, item] = (float(cosine[r, item]), share, run_)
+                    for block in items.blocks:
+                        cosine = np.stack([block.project(h[a:b]) for a, b in some]) @ block.items.T
+                        for r, item in zip(*np.nonzero(cosine >= min_cosine), strict=True):
+                            look(block.start + int(item), *some[r])
                 keys = list(found)
-                ids = pa.array([index.ids[i] for _, i in keys], pa.int64())
+                ids = pa.array([items.ids[i] for _, i in keys], pa.int64())
                 out = [part.column(0).take(pa.array([d for d, _ in keys], pa.int64())), ids, *[pa.array([found[x][j] for x in keys], t) for j, t in enumerate((pa.float64(), pa.float64(), pa.int64()))]]
                 yield pa.RecordBatch.from_arrays(out, ["doc", "item", "cosine", "lcs_share", "verbatim_words"])
 
@@ -241,18 +321,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = keep(benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(item_text).alias("text"), answer.alias("answer")), "leak-items")
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     idf = weights(rows) if n else None
-    blocks, out = max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES)), None
-    for k in range(blocks if n else 0):
-        mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        bins, axes = randomised_svd(mine.select("text"), idf, min(rank, max(1, n)))
-        got = mine.orderBy("item", "text").collect()
-        words = [_tokens(*vec.flat(pa.array([r["text"]])))[0] for r in got]
-        answers = [_tokens(*vec.flat(pa.array([r["answer"]])))[0] if r["answer"] else w[-max(3, len(w) // 4) :] for r, w in zip(got, words, strict=True)]
-        used = [i for i, w in enumerate(words) if len(w)]
-        if not used or not len(bins):
+    scans, out = max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES)), None
+    per = max(1, -(-n // scans // rank))
+    for k in range(scans if n else 0):
+        ids, words, answers, blocks = [], [], [], []
+        for j in range(per):
+            mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(scans * per)) == k * per + j) if scans * per > 1 else items
+            got = mine.orderBy("item", "text").collect()
+            split = [(r, w) for r in got if len(w := _tokens(*vec.flat(pa.array([r["text"]])))[0])]
+            if not split:
+                continue
+            bins, axes = randomised_svd(mine.select("text"), idf, len(got))
+            blocks.append(Index(len(ids), [w for _, w in split], idf, bins, axes))
+            ids += [r["item"] for r, _ in split]
+            words += [w for _, w in split]
+            answers += [_tokens(*vec.flat(pa.array([r["answer"]])))[0] if r["answer"] else w[-max(3, len(w) // 4) :] for r, w in split]
+        if not blocks:
             continue
-        index = Index([got[i]["item"] for i in used], [words[i] for i in used], [answers[i] for i in used], idf, bins, axes)
-        part = rows.mapInArrow(_scan(index, min_share, min_cosine, min_lcs, verbatim), fields)
+        part = rows.mapInArrow(_scan(Items(ids, words, answers, blocks, verbatim), min_share, min_cosine, min_lcs), fields)
         out = part if out is None else out.unionByName(part)
     out = rows.sparkSession.createDataFrame([], fields) if out is None else out
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
