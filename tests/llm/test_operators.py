@@ -165,6 +165,27 @@ def test_decontamination_of_a_large_benchmark(spark):
         assert len(want) >= 60 and want <= {(r["doc_id"], r["item_id"]) for r in got if r["verbatim_words"] >= 13}
 
 
+def test_decontamination_of_paraphrases(spark):
+    rng = np.random.default_rng(9)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 150, n)]
+    items = [make(40) for _ in range(300)]
+    # a third of the words replaced by rare ones, between words that no item has
+    odd = [[w if rng.random() < 0.67 else f"q{rng.integers(0, 10**6)}" for w in items[5 * i]] for i in range(60)]
+    rows = [(i, " ".join([f"r{rng.integers(0, 10**6)}" for _ in range(60)] + odd[i] + [f"r{rng.integers(0, 10**6)}" for _ in range(60)])) for i in range(60)]
+    rows += [(100 + i, " ".join(make(10) + [f"s{i}x{k}" for k in range(40)])) for i in range(300)]
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for x in [*items, *[t.split() for _, t in rows]] for w in x))}
+    coded = [np.array([number[w] for w in x]) for x in items]
+    want = set()
+    for d, t in rows:
+        text = np.array([number[w] for w in t.split()])
+        for i, x in enumerate(coded):
+            if decontaminate.common_subsequence(x, text) >= 24 and decontaminate.common_subsequence(x[-10:], text) >= 5:
+                want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert len(want) >= 40 and {(r["doc_id"], r["item_id"]) for r in got if r["lcs_share"] >= 0.6} == want
+
+
 def test_digest_of_kept_text(spark):
     one = line_dedup.dedup_lines(spark.createDataFrame([(1, "x\ny")], "doc_id long, text string")).select(F.sha2(F.col("deduped.text").cast("binary"), 256)).first()[0]
     assert one == hashlib.sha256(b"x\ny").hexdigest()

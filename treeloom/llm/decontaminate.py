@@ -5,7 +5,8 @@
    sketch Y = A W is made orthonormal by the Cholesky factor of Y'Y (a sum of small squares), B = Q'A is summed by word, and the
    eigenvectors of BB' turn it into the latent axes.
 3. Documents are scanned: runs of windows whose weight lies mostly on benchmark words become regions, a region's TF-IDF vector is
-   projected, and items with enough cosine are its candidates. Runs of ``verbatim`` words are looked up exactly, whatever the cosine.
+   projected, and items with enough cosine are its candidates. Runs of ``verbatim`` words are looked up exactly, whatever the cosine, and
+   so are paraphrases: an item is also a candidate wherever so many of its rarest words stand that the subsequence could be long enough.
 4. A candidate is a hit if the longest common subsequence of words covers ``min_lcs`` of the item and the answer (the item's last
    quarter, or its own column) is covered by half; or if ``verbatim`` words or more stand in the region in one run.
 
@@ -28,7 +29,7 @@ from . import vec
 from .common import keep, text_of
 
 BITS, WINDOW, STRIDE, REGION = 17, 12, 4, 160
-BLOCK, BLOCK_BYTES = 2000, 4 << 20
+BLOCK, BLOCK_BYTES, SLICE = 2000, 4 << 20, 64
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,14 +208,67 @@ class Runs:
                     yield int(at[k]), int(items[j]), width
 
 
+class Signatures:
+    """Which items may be paraphrased where: a bound that no window within an item's reach with enough of its words fails.
+
+    Of an item's L words, ``need`` have to be matched, so of its ``L - need + k`` rarest at least k. k is the least with which chance seldom
+    does that. Items are taken ``SLICE`` at a time, which bounds the pairs (word of a text, item) held at once.
+    """
+
+    def __init__(self, numbers: list[np.ndarray], needs: list[int], reaches: list[int], idf: np.ndarray, vocabulary: np.ndarray):
+        self.reaches, self.least, self.slices = np.array(reaches), np.ones(len(numbers), np.int64), []
+        rate = np.exp(-idf[_bin(vocabulary)])
+        for start in range(0, len(numbers), SLICE):
+            word, item = [], []
+            for i in range(start, min(start + SLICE, len(numbers))):
+                x, need = numbers[i], needs[i]
+                x = x[np.argsort(rate[x], kind="stable")]
+                first = np.append(True, x[1:] != x[:-1])  # a word that the item repeats is met once
+                k = np.arange(1, need + 1)
+                mean = np.cumsum(np.where(first, rate[x], 0))[len(x) - need :] * reaches[i]
+                chance = np.where(k > mean, np.exp(k - mean - k * np.log(k / np.maximum(mean, 1e-12))), 1.0)
+                self.least[i] = k[np.argmax(chance < 1e-6)] if (chance < 1e-6).any() else k[np.argmin(chance)]
+                own = np.unique(x[: len(x) - need + self.least[i]])
+                word.append(own)
+                item.append(np.full(len(own), i))
+            words, items = np.concatenate(word), np.concatenate(item)
+            order = np.argsort(words, kind="stable")
+            self.slices.append((np.searchsorted(words[order], np.arange(len(vocabulary) + 1)), items[order]))
+
+    def find(self, rows: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last) of ranges of words; a window with enough of the item lies within reach of one."""
+        at = np.flatnonzero(number >= 0)
+        for begin, items in self.slices:
+            count = (begin[1:] - begin[:-1])[number[at]]
+            pos = np.repeat(at, count)
+            if not len(pos):
+                continue
+            # the place of each pair in ``items``: its word's begin and how many of that word's come before
+            item = items[np.repeat(begin[number[at]] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(len(pos))]
+            order = np.argsort((item - items.min()).astype(np.uint8), kind="stable")
+            pos, item = pos[order], item[order]
+            end = np.arange(len(pos)) + self.least[item] - 1
+            ok = end < len(pos)
+            end = np.minimum(end, len(pos) - 1)
+            hit = np.flatnonzero(ok & (item[end] == item) & (rows[pos[end]] == rows[pos]) & (pos[end] - pos < self.reaches[item]))
+            if not len(hit):
+                continue
+            p, q, i = pos[hit], pos[end[hit]], item[hit]
+            new = np.append(True, (i[1:] != i[:-1]) | (rows[p[1:]] != rows[p[:-1]]) | (p[1:] - p[:-1] > self.reaches[i[1:]]))
+            for a, b in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(p)) - 1, strict=True):
+                yield int(i[a]), int(p[a]), int(q[b])
+
+
 class Items:
     """All items of a scan: words, answers, runs and latent blocks."""
 
-    def __init__(self, ids: list, words: list[np.ndarray], answers: list[np.ndarray], blocks: list[Index], verbatim: int):
+    def __init__(self, ids: list, words: list[np.ndarray], answers: list[np.ndarray], blocks: list[Index], verbatim: int, min_lcs: float):
         self.ids, self.words, self.answers, self.blocks, self.runs = ids, words, answers, blocks, Runs(words, verbatim)
         self.vocabulary = np.unique(np.concatenate(words))
         self.numbers = [np.searchsorted(self.vocabulary, w) for w in words]
         self.bins = np.unique(np.concatenate([x.bins for x in blocks]))
+        needs = [min(len(w), max(1, int(np.ceil(min_lcs * len(w) - 1e-9)))) for w in words]
+        self.signatures = Signatures(self.numbers, needs, [self.reach(i) for i in range(len(words))], blocks[0].idf, self.vocabulary)
 
     def reach(self, item: int) -> int:
         """How many words of a text an item's copy may take."""
@@ -297,6 +351,8 @@ def _scan(items: Items, min_share: float, min_cosine: float, min_lcs: float):
                     if at >= past.get((int(rows[at]), item), 0):
                         past[int(rows[at]), item] = at + items.reach(item)
                         look(item, at, at + width, True)
+                for item, first, last in items.signatures.find(rows, number):
+                    look(item, first, last + 1)
                 spans = list(regions(h, rows, items, min_share))
                 for k in range(0, len(spans), 512):
                     some = spans[k : k + 512]
@@ -338,7 +394,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             answers += [_tokens(*vec.flat(pa.array([r["answer"]])))[0] if r["answer"] else w[-max(3, len(w) // 4) :] for r, w in split]
         if not blocks:
             continue
-        part = rows.mapInArrow(_scan(Items(ids, words, answers, blocks, verbatim), min_share, min_cosine, min_lcs), fields)
+        part = rows.mapInArrow(_scan(Items(ids, words, answers, blocks, verbatim, min_lcs), min_share, min_cosine, min_lcs), fields)
         out = part if out is None else out.unionByName(part)
     out = rows.sparkSession.createDataFrame([], fields) if out is None else out
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
