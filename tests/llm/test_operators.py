@@ -186,6 +186,16 @@ def test_decontamination_of_paraphrases(spark):
     assert len(want) >= 40 and {(r["doc_id"], r["item_id"]) for r in got if r["lcs_share"] >= 0.6} == want
 
 
+def test_decontamination_of_long_items(spark):
+    rng = np.random.default_rng(10)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
+    items = [make(n) for n in (250, 400, 900)]
+    rows = [(i, " ".join(make(60) + [w if k % 6 else "other" for k, w in enumerate(x)] + make(60))) for i, x in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (1, 1), (2, 2)} and all(r["lcs_share"] > 0.8 for r in got)
+
+
 def test_digest_of_kept_text(spark):
     one = line_dedup.dedup_lines(spark.createDataFrame([(1, "x\ny")], "doc_id long, text string")).select(F.sha2(F.col("deduped.text").cast("binary"), 256)).first()[0]
     assert one == hashlib.sha256(b"x\ny").hexdigest()

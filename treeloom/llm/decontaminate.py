@@ -271,8 +271,8 @@ class Items:
         self.signatures = Signatures(self.numbers, needs, [self.reach(i) for i in range(len(words))], blocks[0].idf, self.vocabulary)
 
     def reach(self, item: int) -> int:
-        """How many words of a text an item's copy may take."""
-        return REGION
+        """How many words of a text an item's copy may take: twice its own, and ``REGION`` at least."""
+        return max(REGION, 2 * len(self.words[item]))
 
     def cosine(self, item: int, words: np.ndarray) -> float:
         block = next(x for x in reversed(self.blocks) if x.start <= item)
