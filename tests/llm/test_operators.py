@@ -28,6 +28,15 @@ def test_quality(docs, empty):
     assert quality_rules.assess(empty).count() == 0
 
 
+def test_quality_of_rare_languages(spark):
+    rng = np.random.default_rng(3)
+    text = lambda k: " ".join(f"{k}{x}" for x in np.minimum(rng.zipf(1.3, 80), 300))
+    rows = [(i, text("alpha"), "en") for i in range(25_000)] + [(100_000 + i, text("Ω"), "xx") for i in range(24)] + [(200_000, text("Ω"), None), (200_001, text("Ω"), "yy"), (200_002, text("alpha"), "xx")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 100000").select("doc_id", "assessment.kept").collect()}
+    # a language of under a thousandth of all is judged by itself; null and single languages are not judged
+    assert all(kept for i, kept in got.items() if i != 200_002) and len(got) == 27 and not got[200_002]
+
+
 def test_sharding(docs, empty):
     got = [(r["shard"], r["slot"]) for r in sharding.shard(docs, 3).collect()]
     sizes = [sum(s == k for s, _ in got) for k in range(3)]

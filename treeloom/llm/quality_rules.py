@@ -6,9 +6,9 @@ language, the mean over documents of their normalised histograms, held as intege
 cannot change a verdict. Common words are found among ``WORD_BINS`` hashed bins: the ``COMMON`` heaviest bins of a
 language, all others together in one more.
 
-Sizes: a language has a reference if it has at least a thousandth of all documents, so there are never more than 1000,
-and a reference is ``COMMON + CLASSES`` numbers; that is what is sent to the tasks. A document whose language
-has none, or is null, is compared with all of them and judged by the nearest. Without any reference it is kept.
+Sizes: a language has a reference if it has at least ``LEAST`` documents with words, however large the rest of the corpus is, and a
+reference is under a kilobyte; those of all languages are sent to the tasks. A document whose language has none, or is null,
+is not judged by distance.
 
 Guards: texts with fewer than ``min_chars`` characters or ``min_words`` words are not judged by distance.
 Null or empty texts have no words and fail the base rule; repeated rows and ties each get their own, equal, verdict.
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import vec
 
-WORD_BINS, COMMON, SCALE = 4096, 64, 1_000_000
+WORD_BINS, COMMON, SCALE, LEAST = 4096, 64, 1_000_000, 20
 #: Classes of characters by their first byte: lower, upper, digit, blank, line end, stop, symbol, other ASCII, beyond ASCII.
 CLASSES = 9
 _CLASS = np.full(256, 8, np.int64)
@@ -87,10 +87,16 @@ def _learn(text: str, lang: str):
 
 
 class Reference:
-    """The references of all languages, as arrays: a few hundred numbers for each."""
+    """The references of all languages, as arrays: under a kilobyte for each. ``top`` has the bins of common words, -1 where there are fewer."""
 
-    def __init__(self, names: list[str], classes: np.ndarray, words: np.ndarray, bins: np.ndarray):
-        self.names, self.classes, self.words, self.bins = names, classes, words, bins
+    def __init__(self, names: list[str], classes: np.ndarray, words: np.ndarray, top: np.ndarray):
+        self.names, self.classes, self.words, self.top = names, classes, words, top
+
+    def places(self, k: int) -> np.ndarray:
+        """The place of each word bin among the common ones of a language."""
+        out, top = np.full(WORD_BINS, COMMON, np.int64), self.top[k][self.top[k] >= 0]
+        out[top] = np.arange(len(top))
+        return out
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Reference:
@@ -102,17 +108,16 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Reference:
         F.slice(F.sort_array(F.collect_list(F.when((F.col("bin") >= CLASSES) & (F.col("bin") < CLASSES + WORD_BINS), F.struct("mass", "bin"))), False), 1, COMMON).alias("top"),
         F.collect_list(F.when(F.col("bin") < CLASSES, F.struct("bin", "mass"))).alias("classes"),
     )
-    total = docs.count()
-    found = by_lang.where(F.col("n") * 1000 >= total).orderBy("lang").collect()
+    found = by_lang.where(F.col("n") >= LEAST).orderBy("lang").collect()
     k = len(found)
-    classes, words, bins = np.zeros((k, CLASSES)), np.zeros((k, COMMON + 1)), np.full((k, WORD_BINS), COMMON, np.int64)
+    classes, words, top = np.zeros((k, CLASSES)), np.zeros((k, COMMON + 1)), np.full((k, COMMON), -1, np.int16)
     for i, r in enumerate(found):
         for b, m in r["classes"]:
             classes[i, b] = m / (SCALE * r["n"])
         for j, (m, b) in enumerate(r["top"]):
-            words[i, j], bins[i, b - CLASSES] = m / (SCALE * r["n"]), j
+            words[i, j], top[i, j] = m / (SCALE * r["n"]), b - CLASSES
         words[i, COMMON] = max(0.0, 1 - words[i].sum())
-    return Reference([r["lang"] for r in found], classes, words, bins)
+    return Reference([r["lang"] for r in found], classes, words, top)
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -162,17 +167,13 @@ def _judge(text: str, lang: str, out: str, ref: Reference, limits: tuple[tuple[f
                 far_c, far_w = np.full(n, np.inf), np.full(n, np.inf)
                 names = part.column(lang).to_pylist()
                 own = np.array([place.get(x, -1) for x in names])
-                for k in range(len(ref.names)):
-                    mine = np.flatnonzero((own == k) | (own < 0))
-                    if not len(mine):
-                        continue
+                for k in np.unique(own[own >= 0]):
+                    mine = np.flatnonzero(own == k)
                     at = np.full(n, -1)
                     at[mine] = np.arange(len(mine))
                     sel = at[rows] >= 0
-                    hist = np.bincount(at[rows[sel]] * (COMMON + 1) + ref.bins[k][bins[sel]], minlength=len(mine) * (COMMON + 1)).reshape(len(mine), COMMON + 1)
-                    c, w = distance(classes[mine], ref.classes[k]), distance(hist, ref.words[k])
-                    near = c + w < far_c[mine] + far_w[mine]
-                    far_c[mine[near]], far_w[mine[near]] = c[near], w[near]
+                    hist = np.bincount(at[rows[sel]] * (COMMON + 1) + ref.places(k)[bins[sel]], minlength=len(mine) * (COMMON + 1)).reshape(len(mine), COMMON + 1)
+                    far_c[mine], far_w[mine] = distance(classes[mine], ref.classes[k]), distance(hist, ref.words[k])
                 judged = (chars >= min_chars) & (n_words >= min_words) & np.isfinite(far_c)
                 noise = 1 / np.sqrt(np.maximum(n_words, 1))
                 (c0, c1), (w0, w1) = limits
