@@ -4,9 +4,9 @@
 2. The benchmark's passages as a TF-IDF matrix A get a randomised SVD, computed over the partitions: with a random matrix W the
    sketch Y = A W is made orthonormal by the Cholesky factor of Y'Y (a sum of small squares), B = Q'A is summed by word, and the
    eigenvectors of BB' turn it into the latent axes.
-3. Documents are scanned: runs of windows whose weight lies mostly on benchmark words become regions, a region's TF-IDF vector is
-   projected, and items with enough cosine are its candidates. Runs of ``verbatim`` words are looked up exactly, whatever the cosine, and
-   so are paraphrases: an item is also a candidate wherever so many of its rarest words stand that the subsequence could be long enough.
+3. Documents are scanned: an item is a candidate wherever a run of its ``verbatim`` words stands, and wherever so many of its rarest words
+   stand close together that its longest common subsequence could be long enough. Both are exact, so no cosine decides; the latent cosine
+   of each hit is given beside it.
 4. A candidate is a hit if the longest common subsequence of words covers ``min_lcs`` of the item and the answer (the item's last
    quarter, or its own column) is covered by half; or if ``verbatim`` words or more stand in the region in one run.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import vec
 from .common import keep, text_of
 
-BITS, WINDOW, STRIDE, REGION = 17, 12, 4, 160
+BITS, WINDOW, REGION = 17, 12, 160
 BLOCK, BLOCK_BYTES, SLICE = 2000, 4 << 20, 64
 
 
@@ -266,13 +266,12 @@ class Items:
         self.ids, self.words, self.answers, self.blocks, self.runs = ids, words, answers, blocks, Runs(words, verbatim)
         self.vocabulary = np.unique(np.concatenate(words))
         self.numbers = [np.searchsorted(self.vocabulary, w) for w in words]
-        self.bins = np.unique(np.concatenate([x.bins for x in blocks]))
         needs = [min(len(w), max(1, int(np.ceil(min_lcs * len(w) - 1e-9)))) for w in words]
         self.signatures = Signatures(self.numbers, needs, [self.reach(i) for i in range(len(words))], blocks[0].idf, self.vocabulary)
 
     def reach(self, item: int) -> int:
-        """How many words of a text an item's copy may take: twice its own, and ``REGION`` at least."""
-        return max(REGION, 2 * len(self.words[item]))
+        """How many words of a text an item's copy may take: twice its own, and ``REGION + 2 * WINDOW`` at least."""
+        return max(REGION + 2 * WINDOW, 2 * len(self.words[item]))
 
     def cosine(self, item: int, words: np.ndarray) -> float:
         block = next(x for x in reversed(self.blocks) if x.start <= item)
@@ -281,52 +280,32 @@ class Items:
     def judge(self, item: int, h: np.ndarray, number: np.ndarray, lo: int, hi: int, min_lcs: float, sure: bool) -> tuple[float, float, int] | None:
         """Cosine, LCS share and longest run of the best window of words ``lo`` to ``hi``, if one is a hit or ``sure``.
 
-        Windows hold ``reach`` words and ``2 * WINDOW`` more, one begins every ``2 * WINDOW`` words: any range of ``reach`` words lies in one.
+        Windows hold ``reach`` words and one begins at every word of the item: no other could hold more of it.
         """
         words, answer, best = self.words[item], self.answers[item], None
         if not sure:
             # the longest common subsequence has no more words than are there at all
-            there = np.isin(self.numbers[item], number[lo:hi]).sum() / len(words)
+            present = np.zeros(len(self.vocabulary) + 1, bool)
+            present[number[lo:hi]] = True
+            there = present[self.numbers[item]].sum() / len(words)
             if there < min_lcs or common_subsequence(words, h[lo:hi]) / len(words) < min_lcs:
                 return None
-        size = self.reach(item) + 2 * WINDOW
-        for s in range(lo, max(hi - size, lo) + 2 * WINDOW, 2 * WINDOW):
+        present = np.zeros(len(self.vocabulary) + 1, bool)
+        present[self.numbers[item]] = True
+        own = lo + np.flatnonzero(present[number[lo:hi]])
+        size = self.reach(item)
+        held = np.searchsorted(own, own + size) - np.arange(len(own))
+        for s in own[held >= (1 if sure else min_lcs * len(words))].tolist():
             window = h[s : min(s + size, hi)]
+            if best is not None and best[0] == 1:
+                break
             share = common_subsequence(words, window) / len(words)
             if (best is None or share > best[0]) and (sure or (share >= min_lcs and common_subsequence(answer, window) / max(len(answer), 1) >= 0.5)):
                 best = share, window
         return best and (self.cosine(item, best[1]), best[0], longest_run(words, best[1]))
 
 
-def regions(h: np.ndarray, rows: np.ndarray, index: Items, min_share: float) -> Iterator[tuple[int, int]]:
-    """Word ranges, of at most ``REGION`` words, in which the weight lies on benchmark words."""
-    b = _bin(h)
-    energy = index.blocks[0].idf[b].astype(np.float64) ** 2
-    known = np.zeros(1 << BITS, bool)
-    known[index.bins] = True
-    all_, own = np.append(0, np.cumsum(energy)), np.append(0, np.cumsum(energy * known[b]))
-    at = np.arange(0, max(len(h) - WINDOW // 2, 1), STRIDE)
-    end = np.minimum(at + WINDOW, len(h))
-    hit = at[(own[end] - own[at]) >= min_share * (all_[end] - all_[at])]
-    i = 0
-    while i < len(hit):
-        j = i
-        while j + 1 < len(hit) and hit[j + 1] - hit[j] <= 2 * STRIDE:
-            j += 1
-        lo, hi = int(hit[i]), min(int(hit[j]) + WINDOW, len(h))
-        # a window may reach over a text's end: each text in it has its own region
-        for a in np.flatnonzero(np.diff(rows[lo:hi])).tolist() + [hi - lo - 1]:
-            stop = lo + a + 1 if lo + a + 1 <= hi else hi
-            first = max(lo, int(np.searchsorted(rows, rows[stop - 1])))
-            if stop - first >= 6:
-                for s in range(first, stop, REGION // 2):
-                    yield s, min(s + REGION, stop)
-                    if s + REGION >= stop:
-                        break
-        i = j + 1
-
-
-def _scan(items: Items, min_share: float, min_cosine: float, min_lcs: float):
+def _scan(items: Items, min_lcs: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in vec.chunks(batch, "text"):
@@ -353,13 +332,6 @@ def _scan(items: Items, min_share: float, min_cosine: float, min_lcs: float):
                         look(item, at, at + width, True)
                 for item, first, last in items.signatures.find(rows, number):
                     look(item, first, last + 1)
-                spans = list(regions(h, rows, items, min_share))
-                for k in range(0, len(spans), 512):
-                    some = spans[k : k + 512]
-                    for block in items.blocks:
-                        cosine = np.stack([block.project(h[a:b]) for a, b in some]) @ block.items.T
-                        for r, item in zip(*np.nonzero(cosine >= min_cosine), strict=True):
-                            look(block.start + int(item), *some[r])
                 keys = list(found)
                 ids = pa.array([items.ids[i] for _, i in keys], pa.int64())
                 out = [part.column(0).take(pa.array([d for d, _ in keys], pa.int64())), ids, *[pa.array([found[x][j] for x in keys], t) for j, t in enumerate((pa.float64(), pa.float64(), pa.int64()))]]
@@ -368,7 +340,7 @@ def _scan(items: Items, min_share: float, min_cosine: float, min_lcs: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, rank: int = 160, min_share: float = 0.5, min_cosine: float = 0.3, min_lcs: float = 0.6, verbatim: int = 13) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, rank: int = 160, min_lcs: float = 0.6, verbatim: int = 13) -> DataFrame:
     """(id, item id, cosine, lcs_share, verbatim_words) of every leak found; ids keep the document's type, items are long."""
     kind = docs.schema[id_col].dataType.simpleString()
     fields = "doc " + kind + ", item long, cosine double, lcs_share double, verbatim_words long"
@@ -394,7 +366,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             answers += [_tokens(*vec.flat(pa.array([r["answer"]])))[0] if r["answer"] else w[-max(3, len(w) // 4) :] for r, w in split]
         if not blocks:
             continue
-        part = rows.mapInArrow(_scan(Items(ids, words, answers, blocks, verbatim, min_lcs), min_share, min_cosine, min_lcs), fields)
+        part = rows.mapInArrow(_scan(Items(ids, words, answers, blocks, verbatim, min_lcs), min_lcs), fields)
         out = part if out is None else out.unionByName(part)
     out = rows.sparkSession.createDataFrame([], fields) if out is None else out
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
