@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +18,12 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary one.
+    A local session that names none (a test) gets a temporary one; on a cluster that would be a folder of the driver alone, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="treeloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -28,6 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_LOCK, _WRITES = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    """``CLEANUP`` is on while any write of the session runs, and then what it was: writes may overlap."""
+    with _LOCK:
+        n, before = _WRITES.get(spark, (0, None))
+        before = before if n else spark.conf.get(CLEANUP, "false")
+        _WRITES[spark] = n + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _WRITES.pop(spark)
+            if n > 1:
+                _WRITES[spark] = n - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends here.
 
@@ -36,13 +63,9 @@ def keep(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    with _cleaning(spark):
         writer.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
