@@ -1,18 +1,20 @@
-"""Packing of documents into fixed-length sequences: first-fit decreasing over a tournament tree, in random groups.
+"""Packing of documents into fixed-length sequences: first-fit decreasing over a tournament tree, in random groups of documents.
 
-Documents become token ids, one end id each, and are cut into pieces of at most ``length`` ids; only the last piece of
-a document is short. Pieces are dealt at random into groups of about ``group_pieces``; each group is packed on its own: full pieces
-fill a sequence alone, the others are taken from the longest on and go to the first sequence with room. The tree holds, at each inner
-node, the most room below it, so a place is found in log2(bins) steps. Groups bound memory and cost little padding, as a group has thousands of pieces.
+Documents become token ids, one end id each, and are cut into pieces of at most ``length`` ids; only the last piece of a document can be
+short. A full piece takes a sequence of its own, wherever first-fit decreasing comes to it, so it gets one where it is cut and does not move. Documents are
+dealt at random into groups of about ``group_docs``; each group packs the short pieces of its documents on its own: they are taken from the longest on and go
+to the first sequence with room. The tree holds, at each inner node, the most room below it, so a place is found in log2(bins) steps. Groups
+bound memory (a document gives each at most one row) and cost little padding.
 
-Token ids are those of the byte-level BPE file of ``tokenizers``. They are made with ``tiktoken`` from the same vocabulary as ranks,
-which gives the same ids several times faster (a test compares them); ``tokenizers`` itself is the fallback if it fails on a text.
-Strings that look like special tokens are ordinary text. Null or empty texts are one end id. Repeated rows are packed each.
+Token ids are those of the byte-level BPE file of ``tokenizers``, strings of its special tokens included. They are made with ``tiktoken`` from the same
+vocabulary as ranks, which gives the same ids several times faster (tests compare them); ``tokenizers`` itself is the fallback where that gives up on a very
+long run of one kind. Null or empty texts are one end id. Repeated rows are packed each. Columns of ``docs`` beside id and text are not returned.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +37,9 @@ class Tokens:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(ranks, "rb"))}
-        self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        with open(model, encoding="utf-8") as f:
+            special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
         self.model, self.slow = model, None
 
     @classmethod
@@ -46,7 +50,7 @@ class Tokens:
 
     def encode(self, text: str) -> np.ndarray:
         try:
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+            return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
         except BaseException as e:  # the library panics (not an Exception) on some very long runs
             if isinstance(e, (KeyboardInterrupt, SystemExit)):
                 raise
@@ -54,7 +58,6 @@ class Tokens:
 
             if self.slow is None:
                 self.slow = Tokenizer.from_file(self.model)
-                self.slow.encode_special_tokens = True
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -103,35 +106,31 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def _pack(length: int):
     def run(table: pa.Table) -> pa.Table:
-        sizes = table.column("length").to_numpy()
-        order = np.lexsort([table.column(c).to_numpy() for c in ("tie", "ids_crc32", "start")])
-        table, sizes = table.take(pa.array(order)), sizes[order]
-        whole = sizes == length
-        sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        sequence[whole] = np.arange(whole.sum())
-        if (~whole).any():
-            bins, offset[~whole] = first_fit_decreasing(sizes[~whole], length)
-            sequence[~whole] = bins + whole.sum()
-        sequence += table.column("group").to_numpy() << 32
-        return table.drop_columns(["group", "tie"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        # the order of rows that arrive does not matter: ties in length go by the document's number
+        table = table.take(pa.array(np.argsort(table.column("number").to_numpy(), kind="stable")))
+        bins, offset = first_fit_decreasing(table.column("length").to_numpy(), length)
+        sequence = 2 * ((table.column("group").to_numpy() << 31) + bins)
+        return table.drop_columns(["group", "number"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return run
 
 
-def pack(docs: DataFrame, length: int = 1024, end_id: int = 0, group_pieces: int = 8192, seed: int = 11, with_ids: bool = True, id_col: str = "doc_id", text: str = "text", ranks: str | None = None, model: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = 1024, end_id: int = 0, group_docs: int = 8192, seed: int = 11, with_ids: bool = True, id_col: str = "doc_id", text: str = "text", ranks: str | None = None, model: str | None = None) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, ids (binary, if ``with_ids``), sequence_id, offset.
 
-    Texts are tokenised where they are read; what moves is a piece's numbers (and ids, if wanted).
+    Texts are tokenised where they are read; what moves is the numbers of short pieces (and their ids, if wanted). Sequences of a full piece have odd ids.
     """
     import public_tokenizers
 
     ranks, model = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), model or public_tokenizers.path("byte_bpe_50k.json")
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    pieces = keep(docs.select(F.col(id_col).alias("id"), text_of(text).alias("text")).mapInArrow(_cut(kind, length, end_id, ranks, model, with_ids), fields), "pieces")
-    groups = max(1, -(-pieces.count() // group_pieces))
-    # the row number in the written table, not the id, decides: repeated ids spread
-    pieces = pieces.withColumn("tie", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
-    pieces = pieces.withColumn("group", F.pmod("tie", F.lit(groups)))
-    out = pieces.groupBy("group").applyInArrow(_pack(length), f"{fields}, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id_col)
+    pieces = docs.select(F.col(id_col).alias("id"), text_of(text).alias("text")).mapInArrow(_cut(kind, length, end_id, ranks, model, with_ids), fields)
+    # numbered where they are written, so numbers stay; not the id decides about groups, so repeated ids spread
+    pieces = keep(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    full, short = pieces.where(F.col("length") == length), pieces.where(F.col("length") < length)
+    groups = max(1, -(-short.count() // group_docs))
+    short = short.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(groups)))
+    packed = short.groupBy("group").applyInArrow(_pack(length), f"{fields}, sequence_id long, offset long")
+    alone = full.withColumns({"sequence_id": 2 * F.col("number") + 1, "offset": F.lit(0).cast("long")}).drop("number")
+    return packed.unionByName(alone).withColumnRenamed("id", id_col)
