@@ -3,7 +3,7 @@
 A document's histogram of character classes and of common words is compared with the reference of its language
 by the Jensen-Shannon distance (base 2, square root, 0 to 1). The references are learned from all documents: for each
 language, the mean over documents of their normalised histograms, held as integers so that the order of summing
-cannot change a verdict. Common words are found among ``WORD_BINS`` hashed bins: the ``COMMON`` heaviest bins of a
+cannot change a verdict (a word of a text of n words weighs 1 / n to within n / ``SCALE`` of itself). Common words are found among ``WORD_BINS`` hashed bins: the ``COMMON`` heaviest bins of a
 language, all others together in one more.
 
 Sizes: a language has a reference if it has at least ``LEAST`` documents with words, however large the rest of the corpus is, and a
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import vec
 
-WORD_BINS, COMMON, SCALE, LEAST = 4096, 64, 1_000_000, 20
+WORD_BINS, COMMON, SCALE, LEAST = 4096, 64, 10**12, 20
 #: Classes of characters by their first byte: lower, upper, digit, blank, line end, stop, symbol, other ASCII, beyond ASCII.
 CLASSES = 9
 _CLASS = np.full(256, 8, np.int64)
@@ -58,6 +58,7 @@ def _histograms(buf, offs, starts, ends, rows) -> tuple[np.ndarray, np.ndarray]:
 def _learn(text: str, lang: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str | None, np.ndarray] = {}
+        held = 0
 
         def out():
             for name, v in sums.items():
@@ -71,16 +72,19 @@ def _learn(text: str, lang: str):
                 classes, bins = _histograms(buf, offs, starts, ends, rows)
                 n_words, names = vec.counts_by_row(rows, len(offs) - 1), part.column(lang).to_pylist()
                 share = SCALE // np.maximum(n_words, 1)
-                by_class = classes * SCALE // np.maximum(classes.sum(1, keepdims=True), 1)
+                by_class = classes * (SCALE // np.maximum(classes.sum(1, keepdims=True), 1))
                 for name in dict.fromkeys(names):
                     mine = np.array([x == name for x in names]) & (n_words > 0)
                     v = sums.setdefault(name, np.zeros(CLASSES + WORD_BINS + 1, np.int64))
                     of = mine[rows]
                     v[:CLASSES] += by_class[mine].sum(0)
-                    v[CLASSES:-1] += np.bincount(bins[of], share[rows[of]], WORD_BINS).astype(np.int64)
+                    np.add.at(v, CLASSES + bins[of], share[rows[of]])
                     v[-1] += int(mine.sum())
-                if len(sums) > 200:
+                # a sum of 64 bits holds SCALE for each of some million texts
+                held += len(names)
+                if len(sums) > 200 or held > 2_000_000:
                     yield from out()
+                    held = 0
         yield from out()
 
     return run
@@ -102,7 +106,7 @@ class Reference:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Reference:
     """References of the languages in ``docs``: one pass, at most 4106 sums for each task and language to the shuffle."""
     sums = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(_learn("text", "lang"), "lang string, bin long, mass long")
-    sums = sums.where("lang is not null").groupBy("lang", "bin").agg(F.sum("mass").alias("mass"))
+    sums = sums.where("lang is not null").groupBy("lang", "bin").agg(F.sum(F.col("mass").cast("decimal(19,0)")).alias("mass"))
     by_lang = sums.groupBy("lang").agg(
         F.max(F.when(F.col("bin") == CLASSES + WORD_BINS, F.col("mass"))).alias("n"),
         F.slice(F.sort_array(F.collect_list(F.when((F.col("bin") >= CLASSES) & (F.col("bin") < CLASSES + WORD_BINS), F.struct("mass", "bin"))), False), 1, COMMON).alias("top"),
@@ -113,9 +117,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Reference:
     classes, words, top = np.zeros((k, CLASSES)), np.zeros((k, COMMON + 1)), np.full((k, COMMON), -1, np.int16)
     for i, r in enumerate(found):
         for b, m in r["classes"]:
-            classes[i, b] = m / (SCALE * r["n"])
+            classes[i, b] = int(m) / (SCALE * int(r["n"]))
         for j, (m, b) in enumerate(r["top"]):
-            words[i, j], top[i, j] = m / (SCALE * r["n"]), b - CLASSES
+            words[i, j], top[i, j] = int(m) / (SCALE * int(r["n"])), b - CLASSES
         words[i, COMMON] = max(0.0, 1 - words[i].sum())
     return Reference([r["lang"] for r in found], classes, words, top)
 
