@@ -9,7 +9,7 @@ The second part estimates the risk on clean text; where it falls below zero the
 ascends it instead. Only words that are surely commoner among the positives take part, as most say nothing.
 
 Features: which of 2**18 hashed words (letters and digits, A-Z folded) and word beginnings a text has. Training uses at most ``max_positive`` positives and
-``max_unlabelled`` other rows for each of ``members`` classifiers, chosen by hash; each is trained in a task of its own, and
+``max_unlabelled`` other rows, and ``max_bytes`` of the features of either, for each of ``members`` classifiers, chosen by hash; each is trained in a task of its own, and
 their mean log-odds is the score. Scoring is a map over all whole texts. Null and empty texts get the score of no words. Without a positive
 the score of all is 0.
 """
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
@@ -50,7 +50,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(rows, np.arange(len(offs)))
             feats = feats.astype("<i4")
             packed = pa.array([feats[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], ["member", "positive", "features"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], packed], ["member", "positive", "k", "features"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ class Sparse:
         return np.bincount(self.col, c[self.row], self.width) / max(self.n, 1)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.5, share: float = 0.7, sure: float = 1.5) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.5, share: float = 0.9, sure: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, weights and bias. A feature takes part if two positives or more have it, and surely ``share / prior`` times as often as the unlabelled."""
     seen, times = np.unique(np.concatenate([*positive, np.zeros(0, np.int64)]), return_counts=True)
     other = np.bincount(np.concatenate([*unlabelled, np.zeros(0, np.int64)]), minlength=1 << BITS)[seen]
@@ -121,21 +121,24 @@ def _train(prior: float):
     return run
 
 
-def train(keys: DataFrame, texts: DataFrame, prior: float, members: int = 3, max_positive: int = 6000, max_unlabelled: int = 12000, seed: int = 3) -> np.ndarray | None:
+def train(keys: DataFrame, texts: DataFrame, prior: float, members: int = 3, max_positive: int = 6000, max_unlabelled: int = 12000, max_bytes: int = 64 << 20, seed: int = 3) -> np.ndarray | None:
     """Mean weights of the members, the bias last; None without a positive.
 
     ``keys``: key, positive (true: known toxic, else unlabelled); ``texts``: key, text. Each member takes the keys that hash least under
-    its own seed, up to the two limits. At most ``members * (max_positive + max_unlabelled)`` keys are thus broadcast to the scan of the
+    its own seed, up to the two limits, and of those as many as hold ``max_bytes`` of features (of positives, and of others), so that very long texts
+    cannot fill a task. At most ``members * (max_positive + max_unlabelled)`` keys are thus broadcast to the scan of the
     texts, which do not move; only the features of the chosen ones do.
     """
     parts = None
     for m in range(members):
         mine = keys.withColumn("__k", F.xxhash64("key", F.lit(seed + m)))
         for flag, most in ((True, max_positive), (False, max_unlabelled)):
-            x = mine.where(F.col("positive") == flag).orderBy("__k").limit(most).select(F.lit(m).alias("member"), "positive", "key")
+            x = mine.where(F.col("positive") == flag).orderBy("__k").limit(most).select(F.lit(m).alias("member"), "positive", F.col("__k").alias("k"), "key")
             parts = x if parts is None else parts.unionByName(x)
-    chosen = texts.join(F.broadcast(keep(parts.distinct(), "toxic-chosen")), "key").select("member", "positive", text_of("text").alias("text"))
-    feats = chosen.mapInArrow(_featurise, "member int, positive boolean, features binary")
+    chosen = texts.join(F.broadcast(keep(parts.distinct(), "toxic-chosen")), "key").select("member", "positive", "k", text_of("text").alias("text"))
+    feats = chosen.mapInArrow(_featurise, "member int, positive boolean, k long, features binary")
+    size = F.sum(F.octet_length("features")).over(Window.partitionBy("member", "positive").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    feats = feats.withColumn("before", F.coalesce(size, F.lit(0))).where(F.col("before") < max_bytes).drop("before")
     weights = feats.groupBy("member").applyInArrow(_train(prior), "member int, feature long, weight double").groupBy("feature").agg(F.sum("weight").alias("w")).collect()
     if not any(r["feature"] >= 0 for r in weights):
         return None
