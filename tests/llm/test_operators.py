@@ -42,8 +42,37 @@ def test_sharding(docs, empty):
     sizes = [sum(s == k for s, _ in got) for k in range(3)]
     assert max(sizes) - min(sizes) <= 1 and len(set(got)) == len(ROWS)
     assert sharding.shard(empty, 3).count() == 0
-    m = sharding.communication_matrix(np.array([5, 0, 9]), 4, 1)
-    assert m.sum(1).tolist() == [5, 0, 9] and sorted(m.sum(0).tolist()) == [3, 3, 4, 4]
+    m = sharding.communication_matrix(np.array([5, 0, 9]), np.array([4, 4, 3, 3]), np.random.default_rng(1))
+    assert m.sum(1).tolist() == [5, 0, 9] and m.sum(0).tolist() == [4, 4, 3, 3]
+
+
+def test_sharding_of_equal_rows_and_clashing_names(spark):
+    names = ["shard", "slot", "p", "row", "rank", "block", "number", "r", "offset"]
+    rows = [(1 if i < 400 else i, *[7] * len(names)) for i in range(4000)]
+    got = sharding.shard(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ("id", *names))).repartition(7), 40).collect()
+    assert sorted(got[0].asDict()) == sorted(["id", *names]) and all(r["block"] == 7 and r["offset"] == 7 for r in got)
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(k, j) for k in range(40) for j in range(100)]
+    # contents do not decide: the 400 equal rows lie in all shards, about ten in each, and seldom side by side
+    same = {k: sorted(r["slot"] for r in got if r["shard"] == k and r["id"] == 1) for k in range(40)}
+    assert all(1 <= len(x) <= 25 for x in same.values()) and sum(b - a == 1 for x in same.values() for a, b in zip(x, x[1:])) < 80
+
+
+def test_hypergeometric_law_beyond_the_generator():
+    rng = np.random.default_rng(5)
+    got = np.array([sharding.hypergeometric(rng, 3 * 10**9, 10**10, 10**6) for _ in range(400)])
+    p = 3 / 13
+    sd = np.sqrt(10**6 * p * (1 - p))
+    assert abs(got.mean() - 10**6 * p) < 4 * sd / 20 and 0.8 < got.std() / sd < 1.2
+    # small cases by the same inversion have the exact law
+    total = 10**9
+    few = np.array([sharding.hypergeometric(rng, 2, total, total // 2) for _ in range(2000)])
+    assert abs((few == 1).mean() - 0.5) < 0.05 and abs((few == 2).mean() - 0.25) < 0.05
+
+
+def test_sharding_margins_over_many_partitions(spark):
+    df = spark.range(0, 3000, 1, 1500).union(spark.range(0))
+    got = sharding.shard(df, 7).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.count_distinct("slot").alias("d")).collect()
+    assert sum(r["n"] for r in got) == 3000 and {r["n"] for r in got} == {428, 429} and all(r["a"] == 0 and r["b"] + 1 == r["n"] == r["d"] for r in got)
 
 
 def test_lines(spark, docs, empty):
@@ -129,6 +158,31 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, None).where("score <> 0").count() == 0
 
 
+def test_quality_of_very_long_texts(spark):
+    rows = [(i, "only " * 1_100_000, "en") for i in range(20)]
+    ref = quality_rules.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert ref.names == ["en"] and abs(ref.words[0][0] - 1) < 1e-5 and ref.words[0][1:].sum() < 1e-5
+
+
+def test_packing_of_special_strings_and_groups(spark, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  \n", "<|endof text|>", "x" * 5000, " \n" * 3000, "word " * 4000, None, None]
+    docs = spark.createDataFrame([(i // 2, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, group long, number long")
+    got = packing.pack(docs, group_docs=2).collect()
+    want = sorted(np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4")[s : s + 1024].tobytes() for t in texts for s in range(0, len(model.encode(t or "", add_special_tokens=False).ids) + 1, 1024))
+    assert sorted(bytes(r["ids"]) for r in got) == want and model.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by.values():
+        pieces.sort()
+        assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and sum(pieces[-1]) <= 1024
+    assert packing.pack(empty).count() == 0
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
