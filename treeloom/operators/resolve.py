@@ -1,68 +1,48 @@
-"""Resolution of candidate edges to a one-to-one map, sentence by sentence."""
+"""Trees rewritten where two annotations turn an edge round."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .edges import bridge_candidates, chain_candidates, edges, strict
-
-
-def propagate(wanted: list[tuple[int, int]], pool: dict[tuple[int, int], set[tuple[int, int]]]) -> dict[tuple[int, int], tuple[int, int]]:
-    """Edges, in the order given, whose only free candidate is theirs; a taken candidate is free no more at once, and passes repeat until one adds nothing."""
-    out: dict[tuple[int, int], tuple[int, int]] = {}
-    used: set[tuple[int, int]] = set()
-    progress = True
-    while progress:
-        progress = False
-        for edge in wanted:
-            free = pool.get(edge, set()) - used
-            if edge not in out and len(free) == 1:
-                out[edge] = free.pop()
-                used.add(out[edge])
-                progress = True
-    return out
+from .edges import _by_sentence
 
 
-def extended(ud: DataFrame, st: DataFrame) -> DataFrame:
-    """Every ud edge with its str edge: identical ones first, then what chain and bridge candidates leave a single choice for.
+def swap_inverted(heads: dict[int, int], pairs: list[tuple[int, int]]) -> tuple[dict[int, int], dict[int, int]]:
+    """Heads after each pair in turn has changed places, and which token's words now stand where.
 
-    Candidates are joins; what is left is one shuffle by sentence and a function that sees one sentence.
+    The two exchange all but their ids. If one hangs on the other, the lower one now hangs where the upper one did, the upper one hangs on it, and
+    what hung on either hangs on the other.
     """
-    all_ = edges(ud).select("sent_id", F.col("lo").alias("ud_lo"), F.col("hi").alias("ud_hi"))
-    own = strict(ud, st).where("head_str is not null").select("sent_id", F.col("lo").alias("ud_lo"), F.col("hi").alias("ud_hi"), F.col("lo").alias("str_lo"), F.col("hi").alias("str_hi"), F.lit(0).alias("rank"))
-    more = chain_candidates(ud, st).unionByName(bridge_candidates(ud, st)).distinct().withColumn("rank", F.lit(1))
-    rows = all_.join(own.unionByName(more), ["sent_id", "ud_lo", "ud_hi"], "left")
-
-    def one(sentence: pd.DataFrame) -> pd.DataFrame:
-        order = sorted({(int(a), int(b)) for a, b in zip(sentence["ud_lo"], sentence["ud_hi"], strict=True)}, key=lambda e: (e[1], e[0]))
-        exact, pool = {}, {}
-        for a, b, c, d, rank in sentence[["ud_lo", "ud_hi", "str_lo", "str_hi", "rank"]].itertuples(index=False):
-            if pd.isna(rank):
-                continue
-            if rank == 0:
-                exact[int(a), int(b)] = (int(c), int(d))
-            else:
-                pool.setdefault((int(a), int(b)), set()).add((int(c), int(d)))
-        taken = set(exact.values())
-        open_ = [e for e in order if e not in exact]
-        found = propagate(open_, {e: c - taken for e, c in pool.items()})
-        rows = [(e, exact.get(e) or found.get(e), "exact" if e in exact else "resolved" if e in found else "unresolved") for e in order]
-        return pd.DataFrame({"sent_id": sentence["sent_id"].iloc[0], "ud_lo": [e[0] for e, _, _ in rows], "ud_hi": [e[1] for e, _, _ in rows], "str_lo": pd.array([m and m[0] for _, m, _ in rows], "Int64"), "str_hi": pd.array([m and m[1] for _, m, _ in rows], "Int64"), "status": [s for _, _, s in rows]})
-
-    return rows.groupBy("sent_id").applyInPandas(one, "sent_id string, ud_lo long, ud_hi long, str_lo long, str_hi long, status string")
-
-
-def swap_inverted(tree: dict[int, int], pairs: list[tuple[int, int]]) -> dict[int, int]:
-    """Heads after each pair in turn has changed places: the lower token takes the upper one's head, and that hangs on it."""
-    heads = dict(tree)
+    heads, words = dict(heads), {i: i for i in heads}
     for a, b in pairs:
-        if heads.get(a) == b:
+        if a not in heads or b not in heads:
+            continue
+        words[a], words[b] = words[b], words[a]
+        if heads[a] == b:
             low, up = a, b
-        elif heads.get(b) == a:
+        elif heads[b] == a:
             low, up = b, a
         else:
             continue
-        heads[low], heads[up] = heads[up], low
-    return heads
+        top, other = heads[up], {low: up, up: low}
+        heads = {i: other.get(h, h) for i, h in heads.items()}
+        heads[up], heads[low] = low, top
+    return heads, words
+
+
+def swap_rows(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``tokens`` (sent_id, id, head, ...) with each pair (sent_id, lo, hi) exchanged, sentence by sentence, in the order of pairs."""
+    none = F.lit(None).cast("long")
+    rows = tokens.select("sent_id", "id", "head", none.alias("hi")).unionByName(pairs.select("sent_id", F.col("lo").alias("id"), none.alias("head"), F.col("hi")))
+
+    def rewrite(ids: list[int], heads: list[int], his: list[int]) -> Iterator[tuple]:
+        tree = {i: h or 0 for i, h, other in zip(ids, heads, his, strict=True) if other is None}
+        new, words = swap_inverted(tree, sorted((i, o) for i, o in zip(ids, his, strict=True) if o is not None))
+        return ((i, words[i], new[i]) for i in tree)
+
+    placed = _by_sentence(rows, ["id", "head", "hi"], rewrite, "id long, source long, head long")
+    rest = tokens.select("sent_id", F.col("id").alias("source"), *[c for c in tokens.columns if c not in ("sent_id", "id", "head")])
+    return placed.join(rest, ["sent_id", "source"]).select(*tokens.columns)
