@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import coarse, correct, normal_feats, punct_by_tag
+from ..functions.columns import coarse, correct, feature, normal_feats, punct_by_tag, wrong
 
 
 def tagging(pairs: DataFrame, *by: str) -> DataFrame:
     """Accuracy of upos, feats and both, over tokens that are no ellipsis. Columns upos_g/p, feats_g/p, ellipsis."""
-    u, f = correct(F.col("upos_g"), F.col("upos_p")), correct(normal_feats(F.col("feats_g")), normal_feats(F.col("feats_p")))
+    g, p = F.col("feats_g"), F.col("feats_p")
+    # equal strings are the rule, and need no parsing
+    u, f = correct(F.col("upos_g"), F.col("upos_p")), F.when(F.coalesce(g == p, F.lit(False)), F.lit(True)).otherwise(correct(normal_feats(g), normal_feats(p)))
     real = pairs.where("ellipsis = 0").select(*by, u.cast("int").alias("u"), f.cast("int").alias("f"))
     return real.groupBy(*by).agg(F.count(F.lit(1)).alias("tokens"), F.avg("u").alias("upos"), F.avg("f").alias("feats"), F.avg(F.col("u") * F.col("f")).alias("all_tags"))
 
@@ -80,3 +82,39 @@ def paired_test(scores: DataFrame, *by: str, alpha: float = 0.05) -> DataFrame:
 
     out = stat.withColumn("p", p_value("t", "n"))
     return out.withColumn("p", F.when(~F.isnan("p"), F.col("p"))).withColumn("significant", F.coalesce(F.col("p") < alpha, F.lit(False)))
+
+
+def deprel_mismatches(quad: DataFrame, str_label: str | None = None, gold: str | None = None, predicted: str | None = None) -> DataFrame:
+    """Tokens whose ud relation is wrong. ``str_label``: a gold relation of str, ``any``, or ``anyBut``, which asks for a wrong one there; ud labels narrow further."""
+    out = quad.where(wrong(F.col("deprel_ud_g"), F.col("deprel_ud_p")))
+    if str_label == "anyBut":
+        out = out.where(wrong(F.col("deprel_str_g"), F.col("deprel_str_p")))
+    elif str_label not in (None, "any"):
+        out = out.where(F.col("deprel_str_g") == str_label)
+    return _labelled(out, deprel_ud_g=gold, deprel_ud_p=predicted)
+
+
+def _labelled(rows: DataFrame, **labels: str | None) -> DataFrame:
+    for column, value in labels.items():
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows
+
+
+def morph_mismatches(quad: DataFrame, tag: str, str_gold: str, gold: str, predicted: str) -> DataFrame:
+    """Tokens whose str value of ``tag`` (upos or a feature's name) is right and whose ud value is wrong, with these values."""
+    value = (lambda s: F.col(f"upos_{s}")) if tag == "upos" else (lambda s: feature(F.col(f"feats_{s}"), tag))
+    right = correct(value("str_g"), value("str_p")) & wrong(value("ud_g"), value("ud_p"))
+    return quad.where(right & (value("str_g") == str_gold) & (value("ud_g") == gold) & (value("ud_p") == predicted))
+
+
+def noisy_triplets(quad: DataFrame, str_predicted: str, gold: str | None, predicted: str | None) -> DataFrame:
+    """Tokens that str wrongly gives ``str_predicted`` and ud ``predicted`` for ``gold``; None asks for no such label."""
+    rows = quad.where(wrong(F.col("deprel_str_g"), F.col("deprel_str_p")))
+    return _labelled(rows, deprel_str_p=str_predicted, deprel_ud_g=gold, deprel_ud_p=predicted)
+
+
+def inconsistent_labels(quad: DataFrame, str_gold: str, labels: tuple[str, ...], each: int = 3) -> DataFrame:
+    """The first tokens of each subset and ud label for one str relation, in the order of sentences."""
+    rows = quad.where((F.col("deprel_str_g") == str_gold) & F.col("deprel_ud_g").isin(*labels))
+    w = Window.partitionBy("subset", "deprel_ud_g").orderBy("sent_id", "id")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= each)
