@@ -25,10 +25,19 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
 
 
 def feature(feats: Column, name: str) -> Column:
-    """A feature's value, the last one if it is named twice, or the sign for a missing one."""
+    """A feature's value, the first one if it is named twice, or the sign for a missing one."""
+    return _value(feats, name, 1)
+
+
+def last_feature(feats: Column, name: str) -> Column:
+    """The same, but the last one if it is named twice, as ``parse_feats`` has it."""
+    return _value(feats, name, -1)
+
+
+def _value(feats: Column, name: str, which: int) -> Column:
     pairs = F.filter(F.split(feats, "[|]"), lambda p: F.startswith(p, F.lit(f"{name}=")))
-    value = F.substring(F.element_at(pairs, -1), len(name) + 2, 1_000_000)
-    return F.when(F.coalesce(F.size(pairs), F.lit(0)) > 0, value).otherwise(F.lit(MISSING))
+    one = F.try_element_at(pairs, F.lit(which))
+    return F.coalesce(F.substr(one, F.lit(len(name) + 2), F.length(one)), F.lit(MISSING))
 
 
 def parse_feats(feats: Column) -> Column:
@@ -70,28 +79,54 @@ def punct_by_tag_or_relation(upos: Column, deprel: Column) -> Column:
     return punct_by_tag(upos) | F.coalesce(coarse(deprel) == "punct", F.lit(False))
 
 
-def punct_by_form(form: Column, upos: Column) -> Column:
-    """Tagged punctuation that is neither a multiplication sign nor a Roman numeral."""
-    return punct_by_tag(upos) & ~F.coalesce(form.isin("×", "x", "X", "х", "Х") | form.rlike("^[IVXLCDM]+$"), F.lit(False))
+def punct_by_form(form: Column, upos: Column, feats: Column | None = None) -> Column:
+    """Tagged punctuation and the multiplication sign; an x and Roman numerals are none."""
+    bare = F.trim(F.coalesce(form, F.lit("")))
+    roman = bare.rlike("^[IVXLCDMivxlcdm]+$")
+    if feats is not None:
+        roman = roman | F.coalesce(F.contains(feats, F.lit("NumForm=Roman")), F.lit(False))
+    return F.when(F.lower(bare) == "x", False).when(bare == "×", True).when(roman, False).otherwise(F.coalesce(F.upper(upos) == "PUNCT", F.lit(False)))
+
+
+def punct_but_signs(form: Column, upos: Column) -> Column:
+    """Tagged punctuation that is no x and no multiplication sign."""
+    return punct_by_tag(upos) & ~F.lower(F.coalesce(form, F.lit(""))).isin("x", "×")
+
+
+#: Quotes and marks that a form loses before it is compared, quotes that it loses at its ends, and dashes.
+STRIPPED, EDGE_QUOTES, DASHES = "\"'«»„“”‚’,…", "\"'«»„“”‚’‹›„‟", "-–—"
 
 
 def bare_form(form: Column, dots: bool = True) -> Column:
-    """Lower case without quotes, separators, dashes and blanks; without dots too unless ``dots``."""
-    return F.regexp_replace(F.lower(form), r"[\s\"'«»„“”,;:!?()\[\]{}\-–—‑" + ("" if dots else ".") + "]", "")
+    """Lower case without quotes, commas, ellipsis dots, white space and dashes; without full stops too unless ``dots``. Null is empty."""
+    gone = STRIPPED + DASHES + ("" if dots else ".")
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(form, F.lit(""))), r"(?U)\s+", ""), gone, "")
 
 
 def same_form(a: Column, b: Column) -> Column:
-    """Equal bare forms, or spelling twins: prepositions with a vowel added, two abbreviations and their words."""
-    x, y = bare_form(a), bare_form(b)
-    # fixed values: pairs that count as the same word
-    twins = (("с", "со"), ("к", "ко"), ("е.", "есть"), ("к.", "как"))
-    same = [((x == p) & (y == q)) | ((x == q) & (y == p)) for p, q in twins]
-    return F.coalesce((x == y) | reduce(lambda m, n: m | n, same), F.lit(False))
+    """Equal bare forms, with or without full stops, or spelling twins. A missing form is an underscore; quotes at the ends do not count."""
+    trimmed = lambda x: F.when(x.isNull() | (x == "_"), F.lit("_")).otherwise(F.trim(x, F.lit(EDGE_QUOTES)))
+    x, y = trimmed(a), trimmed(b)
+    x0, y0 = bare_form(x, dots=False), bare_form(y, dots=False)
+    # fixed values: pairs that count as the same word, as they stand and without full stops
+    twins, short = (("с", "со"), ("к", "ко")), (("е", "есть"), ("к", "как"))
+    either = lambda p, q, pairs: reduce(lambda m, n: m | n, [((p == i) & (q == j)) | ((p == j) & (q == i)) for i, j in pairs])
+    return either(x, y, twins) | either(x0, y0, short) | (x0 == y0) | (bare_form(x) == bare_form(y))
+
+
+def words_lower(form: Column) -> Column:
+    """Words of letters and digits in lower case, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(form, F.lit(""))), F.lit(r"([A-Za-zА-Яа-яЁё0-9]+)"), F.lit(1))
+
+
+def is_glue(form: Column) -> Column:
+    """A form of two words or more with a quote or comma in it."""
+    return F.coalesce(form.rlike("[\"«»,]"), F.lit(False)) & (F.size(words_lower(form)) >= 2)
 
 
 def word_bag(form: Column) -> Column:
     """Sorted words of letters and digits, for comparing glued tokens."""
-    return F.array_sort(F.regexp_extract_all(F.lower(form), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    return F.array_sort(words_lower(form))
 
 
 def ud_source(raw: Column) -> Column:
