@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import candidates as K
+from ..operators import correspondence as P
 from ..operators import edges as E
 from ..operators import error_matrix as M
-from ..operators import ellipsis, metrics, resolve, signatures, splits
+from ..operators import ellipsis, metrics, signatures, splits
 from ..sources import conllu
 from .fixture import SQL, tokens, tree
 
@@ -175,11 +176,6 @@ def _feat(col: str, name: str) -> str:
     return f"coalesce(nullif(regexp_extract({col}, '(^|\\|){name}=([^|]*)', 2), ''), '∅')"
 
 
-@query("SELECT sent_id, id, " + ", ".join(f"{_feat('feats_ud_g', n)} AS {n.lower()}" for n in NAMES) + " FROM tok")
-def f3_feature_values(s, d):
-    return tokens(s, d).select("sent_id", "id", *[C.feature(F.col("feats_ud_g"), n).alias(n.lower()) for n in NAMES])
-
-
 @query("SELECT sent_id, id, array_to_string(list_sort(string_split(feats_ud_g, '|')), '|') AS feats FROM tok")
 def f2_normal_feats(s, d):
     return tokens(s, d).select("sent_id", "id", C.normal_feats(F.col("feats_ud_g")).alias("feats"))
@@ -194,13 +190,17 @@ def a6_a7_error_sets(s, d):
     return tokens(s, d).select("subset", F.array_join(e, ",").alias("errors")).groupBy("subset", "errors").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _signature_sql(control: bool) -> str:
+def _signature_sql(control: bool, pos: bool = False) -> str:
     part = []
     gold = []
     for n in NAMES:
         sg, sp, ug, up = (_feat(f"feats_{x}", n) for x in ("str_g", "str_p", "ud_g", "ud_p"))
         part.append(f"CASE WHEN {sg} <> '∅' AND {ug} <> '∅' AND {sg} {'<>' if control else '='} {sp} AND {ug} <> {up} THEN '{n}:' || {sg} || ':' || {ug} || ':' || {up} END")
         gold.append(f"CASE WHEN {sg} <> '∅' AND {ug} <> '∅' THEN '{n}:' || {sg} || ':' || {ug} END")
+    if pos:
+        sg, sp, ug, up = (f"coalesce(upos_{x}, '∅')" for x in ("str_g", "str_p", "ud_g", "ud_p"))
+        part.append(f"CASE WHEN {sg} {'<>' if control else '='} {sp} AND {ug} <> {up} THEN 'UPOS:' || {sg} || ':' || {ug} || ':' || {up} END")
+        gold.append(f"'UPOS:' || {sg} || ':' || {ug}")
     return WITH_FULL + f""", q AS (SELECT part, list_sort(list_filter([{", ".join(part)}], lambda x: x IS NOT NULL)) AS sig, list_filter([{", ".join(gold)}], lambda x: x IS NOT NULL) AS gold FROM rows_),
     f AS (SELECT part AS subset, sig, count(*) AS n FROM q WHERE len(sig) > 0 GROUP BY ALL), g AS (SELECT part AS subset, gold, count(*) AS m FROM q GROUP BY ALL)
     SELECT f.subset, array_to_string(sig, ',') AS sig, any_value(n) AS n, sum(m)::BIGINT AS n_gold, round_even(100.0::DOUBLE * any_value(n) / sum(m), 1) AS pct
@@ -227,7 +227,7 @@ CASE WHEN str.x IS NULL THEN 'unresolved' WHEN ud.x.head = str.x.head THEN 'same
 
 @query(_STRICT + "SELECT * FROM strict")
 def t7_j14_strict(s, d):
-    return E.strict(*both_trees(s, d))
+    return E.strict_wide(tokens(s, d), "head_ud_g", "head_str_g")
 
 
 @query(_STRICT + "SELECT sent_id, lo, hi FROM strict WHERE status = 'mirrored'")
@@ -240,47 +240,6 @@ def t3_roots(s, d):
     return E.roots(tree(tokens(s, d), "str"))
 
 
-@query(_STRICT + """SELECT DISTINCT a.sent_id, least(a.head_ud_g, a.id) AS ud_lo, greatest(a.head_ud_g, a.id) AS ud_hi, least(a.head_ud_g, b.id) AS str_lo, greatest(a.head_ud_g, b.id) AS str_hi
-FROM tok a JOIN tok b ON a.sent_id = b.sent_id AND b.head_ud_g = a.id JOIN str p ON p.sent_id = a.sent_id AND p.lo = least(a.id, b.id) AND p.hi = greatest(a.id, b.id)
-JOIN str q ON q.sent_id = a.sent_id AND q.lo = least(a.head_ud_g, b.id) AND q.hi = greatest(a.head_ud_g, b.id) WHERE a.head_ud_g > 0""")
-def t8_chain_candidates(s, d):
-    return E.chain_candidates(*both_trees(s, d))
-
-
-@query(_STRICT + """SELECT DISTINCT m.sent_id, least(m.head, u.x.dep) AS ud_lo, greatest(m.head, u.x.dep) AS ud_hi, least(m.dep, u.x.dep) AS str_lo, greatest(m.dep, u.x.dep) AS str_hi
-FROM strict m JOIN ud u ON u.sent_id = m.sent_id AND u.x.head = m.head AND u.x.dep <> m.dep JOIN str q ON q.sent_id = m.sent_id AND q.lo = least(m.dep, u.x.dep) AND q.hi = greatest(m.dep, u.x.dep) WHERE m.status <> 'unresolved'""")
-def t9_bridge_candidates(s, d):
-    return E.bridge_candidates(*both_trees(s, d))
-
-
-@query()
-def t14_t15_extended(s, d):
-    return resolve.extended(*both_trees(s, d))
-
-
-@query(_STRICT + """SELECT count(*) AS tokens, count(*) FILTER (WHERE head_ud_g = 0) AS roots, count(*) FILTER (WHERE head_ud_g = 0 AND head_str_g = 0) AS roots_ok,
-count(*) FILTER (WHERE status = 'same_dir') AS same_dir, count(*) FILTER (WHERE status = 'mirrored') AS mirrored, count(*) FILTER (WHERE status = 'unresolved') AS unresolved
-FROM tok LEFT JOIN strict ON strict.sent_id = tok.sent_id AND strict.dep = tok.id""")
-def a15_coverage(s, d):
-    t = tokens(s, d)
-    flags = t.select("sent_id", "id", F.col("upos_ud_g").alias("upos"), (F.col("head_ud_g") == 0).alias("root_ud"), (F.col("head_str_g") == 0).alias("root_str"))
-    return E.coverage(flags, E.strict(tree(t, "ud"), tree(t, "str")))
-
-
-_COMPARE = _STRICT + """, cmp AS (SELECT t.sent_id, t.id, t.deprel_ud_g AS deprel, s.dep_str AS str_id, u.deprel_str_g AS deprel_str, coalesce(s.status, 'root') AS status
-FROM tok t LEFT JOIN strict s ON s.sent_id = t.sent_id AND s.dep = t.id LEFT JOIN tok u ON u.sent_id = t.sent_id AND u.id = s.dep_str) """
-
-
-@query(_COMPARE + "SELECT * FROM cmp")
-def t26_comparison(s, d):
-    return E.comparison(*both_trees(s, d))
-
-
-@query(_COMPARE + "SELECT deprel_str, deprel, count(*) AS n FROM cmp WHERE str_id IS NOT NULL GROUP BY ALL")
-def a14_label_confusion(s, d):
-    return E.comparison(*both_trees(s, d)).where("str_id is not null").groupBy("deprel_str", "deprel").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _closure(x: str) -> str:
     return f"""{x}_up AS (SELECT sent_id, id, head_{x}_g AS anc, 1::BIGINT AS d FROM tok WHERE head_{x}_g > 0
     UNION ALL SELECT c.sent_id, c.id, t.head_{x}_g, c.d + 1 FROM {x}_up c JOIN tok t ON t.sent_id = c.sent_id AND t.id = c.anc WHERE t.head_{x}_g > 0)"""
@@ -310,14 +269,6 @@ def t37_k5_dependents(s, d):
     return E.dependents(tree(tokens(s, d), "ud"))
 
 
-@query(_STRICT + """, m AS (SELECT sent_id, dep AS ud_id, dep_str AS str_id FROM strict WHERE dep_str IS NOT NULL),
-top AS (SELECT a.sent_id, a.i AS ud_id, b.i AS str_id FROM (SELECT sent_id, min(id) i FROM tok WHERE head_ud_g = 0 GROUP BY ALL HAVING count(*) = 1) a JOIN (SELECT sent_id, min(id) i FROM tok WHERE head_str_g = 0 GROUP BY ALL HAVING count(*) = 1) b USING (sent_id)
-  WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.sent_id = a.sent_id AND m.ud_id = a.i)), al AS (SELECT * FROM m UNION ALL SELECT * FROM top)
-SELECT sent_id, ud_id, str_id FROM (SELECT *, count(*) OVER (PARTITION BY sent_id, str_id) AS c FROM al) WHERE c = 1""")
-def t27_alignment(s, d):
-    return E.alignment(*both_trees(s, d))
-
-
 @query("SELECT a.sent_id, a.id, a.form, b.form AS head_form, b.upos_ud_g AS head_upos FROM tok a LEFT JOIN tok b ON a.sent_id = b.sent_id AND a.head_ud_g = b.id WHERE NOT coalesce(a.deprel_ud_g = a.deprel_ud_p, false)")
 def j3_e8_mismatch_listing(s, d):
     t = tokens(s, d)
@@ -346,11 +297,6 @@ def w7_cross_validation(s, d):
     return splits.cross_validation(f, 8).groupBy("dataset", "role").agg(F.count(F.lit(1)).alias("sentences")).withColumn("dataset", F.col("dataset").cast("long"))
 
 
-@query()
-def w8_shuffle_split(s, d):
-    return splits.shuffled(_sentences(s, d)).groupBy("split").agg(F.count(F.lit(1)).alias("sentences"))
-
-
 @query("SELECT subset, count(*) AS tokens, count(*) FILTER (WHERE id = 1) AS sentences, count(*) FILTER (WHERE ellipsis = 1) AS ellipses FROM tok GROUP BY subset")
 def a17_counters(s, d):
     return tokens(s, d).groupBy("subset").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("id") == 1).alias("sentences"), F.count_if(F.col("ellipsis") == 1).alias("ellipses"))
@@ -392,6 +338,10 @@ t AS (SELECT sent_id, th AS h, id AS d, tu AS pos, least(id, th) AS lo, greatest
 sm AS (SELECT u.sent_id, u.h, u.d, u.lo, u.hi, u.pos, CASE WHEN t.h IS NULL THEN 'unresolved' WHEN t.h = u.h THEN 'same_dir' ELSE 'mirrored' END AS status FROM u LEFT JOIN t USING (sent_id, lo, hi)),
 uc AS (SELECT sent_id, d AS id, h AS anc FROM u UNION ALL SELECT c.sent_id, c.id, u.h FROM uc c JOIN u ON u.sent_id = c.sent_id AND u.d = c.anc),
 tc AS (SELECT sent_id, d AS id, h AS anc FROM t UNION ALL SELECT c.sent_id, c.id, t.h FROM tc c JOIN t ON t.sent_id = c.sent_id AND t.d = c.anc),
+chain AS (SELECT DISTINCT e.sent_id, {_PAIRED.format("e.h", "e.d", "e.h", "y.d")} FROM sm e JOIN u y ON y.sent_id = e.sent_id AND y.h = e.d JOIN t p ON p.sent_id = e.sent_id AND p.lo = least(e.d, y.d) AND p.hi = greatest(e.d, y.d)
+  JOIN t q ON q.sent_id = e.sent_id AND q.lo = least(e.h, y.d) AND q.hi = greatest(e.h, y.d) WHERE e.status = 'unresolved'),
+bridge AS (SELECT DISTINCT e.sent_id, {_PAIRED.format("e.h", "e.d", "x.y", "e.d")} FROM sm e JOIN (SELECT sent_id, lo AS h, hi AS y FROM sm WHERE status <> 'unresolved' UNION ALL SELECT sent_id, hi, lo FROM sm WHERE status <> 'unresolved') x
+  ON x.sent_id = e.sent_id AND x.h = e.h AND x.y <> e.d JOIN t q ON q.sent_id = e.sent_id AND q.lo = least(x.y, e.d) AND q.hi = greatest(x.y, e.d) WHERE e.status = 'unresolved'),
 mirror_swap AS (SELECT DISTINCT e.sent_id, {_PAIRED.format("e.h", "e.d", "i.h", "i.d")} FROM sm e JOIN sm m ON m.sent_id = e.sent_id AND m.h = e.d AND m.status = 'mirrored'
   JOIN t i ON i.sent_id = e.sent_id AND i.d = m.d JOIN sm b ON b.sent_id = e.sent_id AND b.lo = least(e.h, i.h) AND b.hi = greatest(e.h, i.h) AND b.status <> 'unresolved'
   WHERE e.status = 'unresolved' AND {_OTHER.format("e.h", "e.d", "i.h", "i.d")}),
@@ -411,6 +361,16 @@ rc AS (SELECT ra.sent_id, ra.lo AS ud_lo, ra.hi AS ud_hi, rb.lo AS str_lo, rb.hi
 order_residual AS (SELECT sent_id, ud_lo, ud_hi, str_lo, str_hi FROM rc WHERE j BETWEEN round_even(c, 0) - 1 AND round_even(c, 0) + 1 OR (m <> n AND j IN (floor(c), floor(c + 0.999999::DOUBLE)))) """
 
 
+@query(_TURNED + "SELECT * FROM chain")
+def t8_chain_candidates(s, d):
+    return E.chain_candidates(*turned_trees(s, d))
+
+
+@query(_TURNED + "SELECT * FROM bridge")
+def t9_bridge_candidates(s, d):
+    return E.bridge_candidates(*turned_trees(s, d))
+
+
 @query(_TURNED + "SELECT * FROM mirror_swap")
 def t10_mirror_swap(s, d):
     return K.mirror_swap(*turned_trees(s, d))
@@ -437,9 +397,10 @@ _FAMILIES = ["mirror_swap", "mirror_relative", "root_path", "order_residual"]
 @query(_TURNED + ", ev AS (SELECT sent_id, ud_lo, ud_hi, str_lo, str_hi, string_agg(source, ',' ORDER BY source) AS sources FROM (" + " UNION ALL ".join(f"SELECT *, '{f}' AS source FROM {f}" for f in _FAMILIES) + """) GROUP BY ALL)
 SELECT *, CASE WHEN contains(sources, 'mirror_relative') OR contains(sources, 'root_path') OR sources = 'order_residual' THEN 'heuristic' ELSE 'strict' END AS certification FROM ev""")
 def t25_certified_candidates(s, d):
-    trees = turned_trees(s, d)
-    got = K.evidence({f: getattr(K, f)(*trees) for f in _FAMILIES})
-    return got.withColumn("certification", K.certification(F.col("sources"))).withColumn("sources", F.array_join("sources", ","))
+    t = tokens(s, d)
+    rows = t.select("sent_id", "id", F.col("head_ud_g").alias("head_ud"), F.expr(TURNED).alias("head_str"), (F.coalesce(F.col("upos_ud_g") == "PUNCT", F.lit(False))).alias("punct"))
+    got = P.candidates(P.packed(rows), *_FAMILIES)
+    return got.withColumn("certification", K.certification(F.split("sources", ",")))
 
 
 @query("""SELECT sent_id, id, CASE WHEN ellipsis = 1 AND form <> '_' AND NOT (k % 3 = 0 AND id > 5) THEN CASE WHEN k % 5 = 0 THEN 'dev' ELSE form END WHEN ellipsis = 1 THEN '_' ELSE form END AS form,
@@ -452,8 +413,11 @@ def t34_j10_restored_forms(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import correspond, pairs  # noqa: F401  they add theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: v.replace("WITH lines", "WITH RECURSIVE lines", 1) for k, v in ORACLES.items()}
