@@ -226,9 +226,27 @@ def with_aligned(table: DataFrame, pairs: DataFrame) -> DataFrame:
     return table.join(pairs, ["sent_id", "id"], "left")
 
 
-def gold_check(gold: DataFrame, got: DataFrame) -> DataFrame:
-    """Links (picture, str_id, ud_id) expected and found, both ways: every str token with both partners and what differs."""
-    a = gold.select("picture", "str_id", F.col("ud_id").alias("expected"))
-    b = got.select("picture", "str_id", F.col("ud_id").alias("actual"))
-    kind = F.when(F.col("expected").eqNullSafe(F.col("actual")), "same").when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("different")
-    return a.join(b, ["picture", "str_id"], "full_outer").withColumn("outcome", kind)
+def token_links(found: DataFrame, ud: DataFrame, st: DataFrame, include_root: bool = True) -> DataFrame:
+    """(sent_id, ud_id, str_id) as pictures show them: the dependents of matched edges without punctuation on either side, and the first roots joined."""
+    marks = lambda t, name: t.where(punct(F.col("upos"), F.col("deprel"))).select("sent_id", F.col("id").alias(name))
+    out = found.where("str_id is not null").select("sent_id", "ud_id", "str_id")
+    out = out.join(marks(ud, "ud_id"), ["sent_id", "ud_id"], "left_anti").join(marks(st, "str_id"), ["sent_id", "str_id"], "left_anti")
+    if not include_root:
+        return out.select("sent_id", "ud_id", "str_id")
+    top = lambda t, name: t.where("head = 0").groupBy("sent_id").agg(F.min("id").alias(name))
+    tops = top(ud, "ud_id").join(top(st, "str_id"), "sent_id")
+    # the roots' link takes the place of one that the ud root has already
+    rest = out.join(tops.select("sent_id", "ud_id"), ["sent_id", "ud_id"], "left_anti")
+    return rest.select("sent_id", "ud_id", "str_id").unionByName(tops)
+
+
+def gold_check(gold: DataFrame, links: DataFrame, ud: DataFrame, st: DataFrame) -> DataFrame:
+    """Every link that ``gold`` expects or ``links`` has (both: sent_id, ud_id, str_id), in gold's sentences, with forms and whether they agree."""
+    mine = links.join(gold.select("sent_id").distinct(), "sent_id", "left_semi")
+    both_ = gold.withColumnRenamed("str_id", "expected_str_id").join(mine.withColumnRenamed("str_id", "actual_str_id"), ["sent_id", "ud_id"], "full_outer")
+    form = lambda t, key, name: t.select("sent_id", F.col("id").alias(key), F.col("form").alias(name))
+    out = both_.join(form(ud, "ud_id", "ud_form"), ["sent_id", "ud_id"], "left")
+    for side in ("expected", "actual"):
+        out = out.join(form(st, f"{side}_str_id", f"{side}_str_form"), ["sent_id", f"{side}_str_id"], "left")
+    ok = F.col("expected_str_id").eqNullSafe(F.col("actual_str_id"))
+    return out.select("sent_id", "ud_id", "ud_form", "expected_str_id", "expected_str_form", "actual_str_id", "actual_str_form", ok.alias("ok"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correct, percent, wrong
+from .written import written
 
 
 def with_full(rows: DataFrame, subset: str = "subset") -> DataFrame:
@@ -74,7 +75,11 @@ def ranked(quad: DataFrame, tag: str, top: int, min_count: int = 10, min_percent
 
 
 def cascade(rows: DataFrame, steps: list[tuple[str, int]], keys: list[str]) -> DataFrame:
-    """The first rows by one column, then of the rest by the next, and so on: columns step and rank, for small result tables."""
+    """The first rows by one column, then of the rest by the next, and so on: columns step and rank, for small result tables.
+
+    The table is written once, as every step reads it again.
+    """
+    rows = written(rows, "cascade")
     out, rest = None, rows
     for i, (by, n) in enumerate(steps, 1):
         w = Window.orderBy(F.desc_nulls_last(by), *keys)

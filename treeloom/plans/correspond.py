@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import correspondence as P
 from ..operators import splits
+from ..operators.written import written
 from .catalog import _STRICT, TURNED, _closure, query
 from .fixture import tokens
 
@@ -132,7 +133,7 @@ back AS (SELECT sent_id, aligned_id AS id, min(id) AS aligned_id FROM forth GROU
 @query(_MAPS + "SELECT 'ud' AS side, * FROM forth UNION ALL SELECT 'str', * FROM back")
 def t27_alignment(s, d):
     rows = wide(tokens(s, d))
-    forth, back = P.alignment(P.matches(P.packed(rows), "strict"), rows)
+    forth, back = P.alignment(written(P.matches(P.packed(rows), "strict"), "matches"), rows)
     return forth.withColumn("side", F.lit("ud")).unionByName(back.withColumn("side", F.lit("str")))
 
 
@@ -158,7 +159,7 @@ diagnosed AS (SELECT g.sent_id, g.category, coalesce(meaningful, 0) AS meaningfu
 
 def _diagnosed(s: SparkSession, d: str) -> DataFrame:
     rows = wide(tokens(s, d))
-    first = P.matches(P.packed(rows), "strict")
+    first = written(P.matches(P.packed(rows), "strict"), "matches")
     return P.diagnosis(first, first.withColumn("status", F.expr(_SECOND)), rows)
 
 
@@ -182,7 +183,7 @@ def w9_examples(s, d):
 @query()
 def a20_of_extended_and_certified(s, d):
     rows = wide(tokens(s, d), True)
-    sentences = P.packed(rows)
+    sentences = written(P.packed(rows), "sentences")
     return P.diagnosis(P.matches(sentences, "extended"), P.matches(sentences, "certified"), rows)
 
 
@@ -191,3 +192,17 @@ def a20_of_extended_and_certified(s, d):
 def w3_ellipsis_runs(s, d):
     t = tokens(s, d).select("sent_id", "id", "ellipsis", "upos_ud_g")
     return splits.runs_between(t, F.col("ellipsis") == 1, F.coalesce(F.col("upos_ud_g") == "PUNCT", F.lit(False))).select("sent_id", "id", "run")
+
+
+@query(_FOUND + f""", links AS (SELECT f.sent_id, f.ud_id, f.str_id FROM found f JOIN tok a ON a.sent_id = f.sent_id AND a.id = f.ud_id JOIN tok b ON b.sent_id = f.sent_id AND b.id = f.str_id
+  WHERE f.str_id IS NOT NULL AND NOT coalesce(a.upos_ud_g = 'PUNCT', false) AND NOT coalesce(b.upos_str_g = 'PUNCT', false) AND a.head_ud_g <> 0
+  UNION ALL SELECT sent_id, min(id) FILTER (WHERE head_ud_g = 0), min(id) FILTER (WHERE head_str_g = 0) FROM tok GROUP BY sent_id),
+gold AS (SELECT sent_id, id AS ud_id, CASE WHEN k % 3 = 0 THEN id ELSE greatest(id - 1, 1) END AS str_id FROM tok WHERE k % 7 <> 0 AND ln % 2 = 0),
+j AS (SELECT coalesce(g.sent_id, l.sent_id) AS sent_id, coalesce(g.ud_id, l.ud_id) AS ud_id, g.str_id AS e, l.str_id AS a FROM gold g FULL JOIN (SELECT * FROM links SEMI JOIN gold USING (sent_id)) l ON l.sent_id = g.sent_id AND l.ud_id = g.ud_id)
+SELECT j.sent_id, j.ud_id, t.form AS ud_form, e AS expected_str_id, x.form AS expected_str_form, a AS actual_str_id, y.form AS actual_str_form, e IS NOT DISTINCT FROM a AS ok FROM j LEFT JOIN tok t ON t.sent_id = j.sent_id AND t.id = j.ud_id
+LEFT JOIN tok x ON x.sent_id = j.sent_id AND x.id = e LEFT JOIN tok y ON y.sent_id = j.sent_id AND y.id = a""")
+def t36_gold_check(s, d):
+    t = tokens(s, d)
+    ud, st = sides(t)
+    gold = t.where("k % 7 <> 0 and ln % 2 = 0").selectExpr("sent_id", "id AS ud_id", "CASE WHEN k % 3 = 0 THEN id ELSE greatest(id - 1, 1) END AS str_id")
+    return P.gold_check(gold, P.token_links(P.matches(P.packed(wide(t)), "strict"), ud, st), ud, st)
