@@ -240,9 +240,12 @@ def test_pairs_and_errors(spark):
 
 
 def test_gold_check(spark):
-    link = "picture string, str_id int, ud_id int"
-    got = P.gold_check(spark.createDataFrame([("p", 1, 1), ("p", 2, 3), ("p", 4, 4)], link), spark.createDataFrame([("p", 1, 1), ("p", 2, 2), ("p", 5, 5)], link))
-    assert sorted((r["str_id"], r["outcome"]) for r in got.collect()) == [(1, "same"), (2, "different"), (4, "missing"), (5, "extra")]
+    ud, st = (t.withColumn("form", F.concat(F.lit("w"), "id")) for t in trees(spark, [0, 1, 1, 1], [0, 1, 2, 1]))
+    links = P.token_links(P.matches(P.packed(P.both(ud, st)), "strict"), ud, st)
+    assert sorted(tuple(r) for r in links.collect()) == [("s", 1, 1), ("s", 2, 2), ("s", 4, 4)]
+    gold = spark.createDataFrame([("s", 1, 1), ("s", 2, 3), ("s", 3, 3)], "sent_id string, ud_id long, str_id long")
+    got = {r["ud_id"]: (r["expected_str_id"], r["actual_str_id"], r["ok"]) for r in P.gold_check(gold, links, ud, st).collect()}
+    assert got == {1: (1, 1, True), 2: (3, 2, False), 3: (3, None, False), 4: (None, 4, False)}
 
 
 def test_conllu_file(spark, tmp_path):
@@ -345,3 +348,90 @@ def test_concatenated_files(spark, tmp_path):
     sinks.concatenate(spark, str(tmp_path), str(tmp_path / "all"))
     got = conllu.parse_tokens(conllu.read_blocks(spark, str(tmp_path / "all"), "*.txt"))
     assert sorted(r["sent_id"] for r in got.collect()) == ["a0", "a1", "a2", "b0", "b1", "b2"]
+
+
+def test_pictures(spark):
+    from treeloom.sources import pictures
+
+    make = lambda heads: spark.createDataFrame([("s", i, f"w_{i}", h, "punct" if i == 4 else f"r{i}", "X") for i, h in enumerate(heads, 1)], "sent_id string, id long, form string, head long, deprel string, upos string")
+    ud, st = make([0, 1, 1, 1, 2]), make([2, 0, 2, 2, 3])
+    got = pictures.album(ud, st, "strict", ["s"])["s"]
+    links = spark.createDataFrame([(got,)], "t string").select(conllu.gold_links(F.col("t")).alias("x")).first()["x"]
+    # {1, 2} turned round, and the roots; 3 and 5 are open, 4 is punctuation
+    assert sorted(map(tuple, links)) == [(1, 2), (2, 1)] and "% open: 3 w_3, 5 w_5" in got and r"w\_4" in got and got.count("textcolor") == 4
+    assert pictures.escape("a_b%\\") == r"a\_b\%\textbackslash{}" and pictures.escape(None) == "" and [pictures.separation(n) for n in (8, 12, 16, 40)] == ["0.6cm", "0.4cm", "0.3cm", "0.2cm"]
+    with pytest.raises(KeyError):
+        pictures.album(ud, st, "strict", ["t"])
+
+
+def test_enhanced_graph_as_a_tree(spark):
+    from treeloom.operators import conversion
+
+    # "Mary likes tea and John (likes) coffee": 4.1 is the elided verb, its subject and object are orphans in the basic tree
+    rows = [
+        ("a", "1", "2", "nsubj", "2:nsubj"), ("a", "2", "0", "root", "0:root"), ("a", "3", "2", "obj", "2:obj"), ("a", "4", "5", "cc", "4.1:cc"),
+        ("a", "4.1", None, None, "2:conj:and"), ("a", "5", "2", "conj", "4.1:nsubj"), ("a", "6", "5", "orphan", "4.1:obj"),
+        # an elided root takes the word that was root, for a rule to name
+        ("b", "0.1", None, None, "0:root"), ("b", "1", "0", "root", "0:root"), ("b", "2", "1", "advmod", "0.1:advmod"),
+        # an ellipsis that hangs on its only dependent stays below it
+        ("c", "1", "0", "root", "0:root"), ("c", "2", "1", "nmod", "2.1:nmod"), ("c", "2.1", None, None, "2:acl"),
+    ]
+    tokens = spark.createDataFrame(rows, "sent_id string, id string, head string, deprel string, deps string")
+    got = {(r["sent_id"], r["id"]): (r["head"], r["deprel"]) for r in conversion.enhanced_to_basic(tokens).collect()}
+    assert got["a", "4.1"] == ("2", "conj") and got["a", "4"] == ("4.1", "cc") and got["a", "5"] == ("4.1", "nsubj") and got["a", "6"] == ("4.1", "obj") and got["a", "1"] == ("2", "nsubj")
+    assert got["b", "0.1"] == ("0", "root") and got["b", "1"] == ("0.1", "TEMP") and got["b", "2"] == ("0.1", "advmod")
+    assert got["c", "2.1"] == ("2", "acl") and got["c", "2"] == ("1", "nmod")
+    for sent in "abc":
+        up = {i: h for (s, i), (h, _) in got.items() if s == sent}
+        for token in up:
+            for _ in up:
+                token = up.get(token, "0")
+            assert token == "0"
+
+
+def test_repaired_roots(spark):
+    from treeloom.operators import conversion
+
+    tokens = spark.createDataFrame([("s", "1", "в", "в", "ADP", None, "2", "case"), ("s", "2", "доме", "дом", "NOUN", "Case=Acc", "3.1", "TEMP"), ("s", "3", "он", "он", "PRON", "Case=Nom", "3.1", "TEMP"), ("s", "4", "x", "x", "NOUN", None, "9.1", "TEMP")], "sent_id string, id string, form string, lemma string, upos string, feats string, head string, deprel string")
+    partners = spark.createDataFrame([("s", "3.1", "V", "быть")], "sent_id string, id string, upos string, lemma string")
+    got = {r["id"]: r["deprel"] for r in conversion.repair_roots(tokens, partners).collect()}
+    # with a preposition below it the accusative is no object; a head without a partner names nothing
+    assert got == {"1": "case", "2": "obl", "3": "nsubj", "4": "TEMP"}
+
+
+def test_normalised_tokens(spark):
+    from treeloom.operators import normalise as N
+
+    def words(*rows):
+        made = [N.Word(form, lemma=form, upos="PUNCT" if rel == "punct" else "X", rel=rel) for form, _, rel in rows]
+        for w, (_, head, _) in zip(made, rows, strict=True):
+            w.head = made[head - 1] if head else None
+        return made
+
+    def told(target, source):
+        got, why = N.normalise(words(*target), words(*source))
+        place = {w: i for i, w in enumerate(got, 1)}
+        return why or [(w.form, place[w.head] if w.head else 0, w.rel) for w in got]
+
+    # quotes come off, two words are one, punctuation is the target's
+    assert told([("дом", 2, "a"), ("кто-то", 0, "root"), (".", 2, "punct")], [("«дом»", 3, "s"), ("кто", 3, "q"), ("то", 0, "root")]) == [("дом", 2, "s"), ("кто-то", 0, "root"), (".", 2, "punct")]
+    # a hyphenated word in either order, a word that stands later, spelling twins
+    assert told([("а-б", 0, "root"), ("со", 3, "x"), ("г", 1, "x")], [("б", 0, "root"), ("а", 1, "p"), ("г", 1, "p"), ("с", 3, "r")]) == [("а-б", 0, "root"), ("со", 3, "r"), ("г", 1, "p")]
+    # a particle and its pronoun, unless the target writes them apart
+    assert told([("некого", 2, "o"), ("звать", 0, "root")], [("не", 2, "n"), ("кого", 3, "o"), ("звать", 0, "root")]) == [("некого", 2, "o"), ("звать", 0, "root")]
+    assert told([("не", 2, "o"), ("кого", 0, "root")], [("не", 2, "n"), ("кого", 0, "root")]) == [("не", 2, "n"), ("кого", 0, "root")]
+    # an ellipsis that the target lacks goes, and its dependent hangs where it hung; of two in a run the one that more hangs on stays
+    assert told([("я", 2, "s"), ("иду", 0, "root")], [("я", 2, "s"), ("_", 3, "e"), ("иду", 0, "root")]) == [("я", 2, "s"), ("иду", 0, "root")]
+    assert told([("_", 0, "root"), ("дом", 1, "x")], [("_", 2, "e"), ("_", 0, "root"), ("дом", 2, "o")]) == [("_", 0, "root"), ("дом", 1, "o")]
+    # a root that goes leaves its place to the target's root
+    assert told([("он", 2, "s"), ("дома", 0, "root")], [("он", 2, "s"), ("_", 0, "root"), ("дома", 2, "l")]) == [("он", 2, "s"), ("дома", 0, "root")]
+    # a glued token, and reasons
+    assert told([('"а б"', 0, "root"), ("в", 1, "x")], [("б", 0, "root"), ("а", 1, "p"), ("в", 1, "p")]) == [('"а б"', 0, "root"), ("в", 1, "p")]
+    assert told([("а", 0, "root")], [("б", 0, "root")]).startswith("word 0") and told([("а", 0, "root"), ("б", 1, "x")], [("а", 0, "root")]).startswith("source ends")
+    assert told([("а", 0, "root")], [("а", 0, "root"), ("б", 1, "x")]) == "1 source words are left" and told([("_", 0, "root")], [("а", 0, "root")]).startswith("no ellipsis")
+
+    schema = "sent_id string, id long, form string, lemma string, upos string, feats string, head long, deprel string"
+    ud = spark.createDataFrame([("a", 1, "x1", None, "N", None, 2, "o"), ("a", 2, "y", None, "V", None, 0, "root"), ("b", 1, "z", None, "N", None, 0, "root")], schema)
+    st = spark.createDataFrame([("a", 1, "x1", "l", "S", "F=1", 2, "s"), ("a", 2, "Y", None, "V", None, 0, "root"), ("c", 1, "z", None, "N", None, 0, "root")], schema)
+    got = sorted(N.normalise_tokens(ud, st).collect(), key=lambda r: (r["sent_id"], r["id"] or 0))
+    assert [tuple(r) for r in got] == [("a", 1, "x1", "l", "S", "F=1", 2, "s", None), ("a", 2, "y", None, "V", None, 0, "root", None), ("b", *[None] * 7, "no source")]
