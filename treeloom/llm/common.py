@@ -92,3 +92,13 @@ def row_hash(df: DataFrame, seed: int) -> Column:
     """64 bits of all columns of a row, from ``seed``; maps and variants go through their JSON form."""
     parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in df.schema.fields]
     return F.xxhash64(F.lit(seed), *parts)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until ``df`` has no column of it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

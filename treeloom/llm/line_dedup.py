@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, keep, text_of
+from .common import SPACES, fresh, keep, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -99,9 +99,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, bat
         runs.add(keys.where(F.col("batch") == b).select("h1", "h2"))
     frequent = runs.frequent()
     hits = keys.select("row", "h1", "h2").hint("merge").join(frequent.hint("merge"), ["h1", "h2"])
-    hits = hits.groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias("__hits"))
-    joined = base.withColumn("__row", row).hint("merge").join(hits.withColumnRenamed("row", "__row").hint("merge"), "__row", "left")
-    stay = F.filter("__lines", lambda x: ~F.array_contains(F.col("__hits"), key_hashes(line_key(x))))
-    joined = joined.withColumn("__lines", lines).withColumn("__stay", F.when(F.col("__hits").isNull(), F.col("__lines")).otherwise(stay))
-    got = F.struct(F.array_join("__stay", "\n").alias("text"), F.size("__lines").cast("long").alias("n_lines"), (F.size("__lines") - F.size("__stay")).cast("long").alias("n_dropped"))
+    key, found, split, left = fresh(base, "__row", "__hits", "__lines", "__stay")
+    hits = hits.groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias(found))
+    joined = base.withColumn(key, row).hint("merge").join(hits.withColumnRenamed("row", key).hint("merge"), key, "left")
+    stay = F.filter(split, lambda x: ~F.array_contains(F.col(found), key_hashes(line_key(x))))
+    joined = joined.withColumn(split, lines).withColumn(left, F.when(F.col(found).isNull(), F.col(split)).otherwise(stay))
+    got = F.struct(F.array_join(left, "\n").alias("text"), F.size(split).cast("long").alias("n_lines"), (F.size(split) - F.size(left)).cast("long").alias("n_dropped"))
     return joined.withColumn(out, got).select(*[F.col(f"`{c}`") for c in base.columns], out)
