@@ -16,7 +16,7 @@ Where it reaches ``length``, the window is repeated.
 An anchor with more than ``BLOCK`` different snippets does not go to one task: its snippets are taken as texts and dealt again by anchors of
 longer k-mers (``LEVELS``), which fewer of them share. At the last level an anchor is a whole window, and counting is all.
 
-Texts are bytes of UTF-8; null is empty. Repeated rows are texts of their own, so all they have in common goes.
+Texts are bytes of UTF-8, each of less than 2**28 (a longer one is an error); null is empty. Repeated rows are texts of their own, so all they have in common goes.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import free, keep, text_of
+from .common import free, fresh, keep, text_of
 
 BLOCK, BLOCK_BYTES = 32_768, 256 << 10
 POSITION = 28
@@ -55,6 +55,8 @@ def snippets(buf: np.ndarray, offs: np.ndarray, length: int, k: int):
     z = np.zeros(0, np.int64)
     if n <= 0:
         return z, z, z, z, z, z
+    if len(buf) >> POSITION:
+        raise ValueError(f"a text of {len(buf)} bytes: positions have {POSITION} bits")
     inverse = vec.powers(len(buf) + 1, True)
     sums = _sums(buf, _TABLES[0])
     kmers = vec.mix((sums[k:] - sums[:-k]) * inverse[: len(sums) - k] + U(k))
@@ -362,6 +364,7 @@ def dedup_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
     docs = docs.drop(out) if out in docs.columns else docs
     row = F.xxhash64(F.col(id_col), F.col(text))
     hits = repeated(docs.select(row.alias("row"), text_of(text).alias("text")), length)
-    by_row = hits.groupBy("row").agg(F.collect_list(F.struct("start", "ranges")).alias("__hits")).withColumnRenamed("row", "__row")
-    joined = docs.withColumn("__row", row).hint("merge").join(by_row.hint("merge"), "__row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__hits")
+    key, found = fresh(docs, "__row", "__hits")
+    by_row = hits.groupBy("row").agg(F.collect_list(F.struct("start", "ranges")).alias(found)).withColumnRenamed("row", key)
+    joined = docs.withColumn(key, row).hint("merge").join(by_row.hint("merge"), key, "left").select(*[F.col(f"`{c}`") for c in docs.columns], found)
     return joined.mapInArrow(_remove(length, text, len(docs.columns), out), T.StructType([*docs.schema.fields, T.StructField(out, OUT, False)]))
