@@ -1,7 +1,7 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Every candidate (three base kinds and two more that only add spans) is found with its position in code points; then its value's hash is counted
-over the corpus by distinct repositories and owners. A value that ``copied_owners`` owners or more have is a widely copied example; one
+over the corpus by distinct repositories and owners. A value that ``copied_owners`` owners or more have, or two owners in ``copied_repositories`` repositories, is a widely copied example; one
 of a single owner that looks random (digits and letters, 16 characters or more) is a live-looking credential; the rest is shared.
 
 Only DataFrame expressions: a pattern's matches come from ``regexp_extract_all``, the text between them from ``split``, and
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, row_hash, text_of
+from .common import fresh, keep, row_hash, text_of
 
 #: Base kinds as listed, then those that this scan adds: name, pattern, group of the value, least characters of it, a string every match has.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -61,7 +61,8 @@ def scan(docs: DataFrame, text: str = "text", out: str = "candidates") -> DataFr
     """``docs`` without the text, with array<struct<start, end, kind, value>> by start, then kind."""
     t = text_of(text)
     found = F.concat(*[_matches(t, k) for k in range(len(KINDS))])
-    return docs.withColumn(out, F.array_sort(found)).drop(text)
+    by_start = lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(a["kind"] - b["kind"])
+    return docs.withColumn(out, F.array_sort(found, by_start)).drop(text)
 
 
 def ownership(candidates: DataFrame, repository: str, owner: str) -> DataFrame:
@@ -71,24 +72,26 @@ def ownership(candidates: DataFrame, repository: str, owner: str) -> DataFrame:
     return by_owner.groupBy("h1", "h2").agg(F.sum("repositories").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def find_secrets(docs: DataFrame, repository: str = "repository", owner: str = "owner", text: str = "text", copied_owners: int = 3, out: str = "secrets") -> DataFrame:
+def find_secrets(docs: DataFrame, repository: str = "repository", owner: str = "owner", text: str = "text", copied_owners: int = 3, copied_repositories: int = 10, out: str = "secrets") -> DataFrame:
     """The columns of ``docs`` but the text, with array<struct<start, end, kind, class>> ``out``; class is 'live', 'shared' or 'copied'.
 
     ``kind`` is a position in ``KINDS``. A repository counts within its owner.
     """
     docs = docs.drop(out) if out in docs.columns else docs
     names = [c for c in docs.columns if c != text]
-    found = scan(docs, text, "__found").withColumn("__row", row_hash(docs.select(*names), 1))
-    hashed = F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.xxhash64(x["value"]).alias("h1"), F.xxhash64(F.lit(9), x["value"]).alias("h2"), ((F.length(x["value"]) >= 16) & x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")).alias("random")))
-    found = keep(found.withColumn("__found", hashed), "secrets")
-    rows = found.select("__row", F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.explode("__found").alias("c")).select("__row", "repository", "owner", "c.*")
+    row, spans, told, table = fresh(docs, "__row", "__found", "__classed", "__map")
+    found = scan(docs, text, spans).withColumn(row, row_hash(docs.select(*[F.col(f"`{c}`") for c in names]), 1))
+    hashed = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.xxhash64(x["value"]).alias("h1"), F.xxhash64(F.lit(9), x["value"]).alias("h2"), ((F.length(x["value"]) >= 16) & x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")).alias("random")))
+    found = keep(found.withColumn(spans, hashed), "secrets")
+    rows = found.select(F.col(row).alias("row"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.explode(spans).alias("c")).select("row", "repository", "owner", "c.*")
     owned = ownership(rows, "repository", "owner")
-    kind = F.when(F.col("n_owners") >= copied_owners, "copied").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("shared")
+    widely = (F.col("n_owners") >= copied_owners) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= copied_repositories))
+    kind = F.when(widely, "copied").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("shared")
     # equal rows (every column but the text) share a hash and so each other's candidates; position and value keep them apart
-    classed = rows.select("__row", "start", "end", "kind", "h1", "h2", "random").distinct().hint("merge").join(owned.hint("merge"), ["h1", "h2"]).withColumn("class", kind)
-    by_row = classed.groupBy("__row").agg(F.collect_list(F.struct("start", "end", "kind", "h1", "h2", "class")).alias("__classed"))
-    joined = found.join(by_row, "__row", "left")
+    classed = rows.select("row", "start", "end", "kind", "h1", "h2", "random").distinct().hint("merge").join(owned.hint("merge"), ["h1", "h2"]).withColumn("class", kind)
+    by_row = classed.groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "h1", "h2", "class")).alias(told))
+    joined = found.join(by_row.withColumnRenamed("row", row), row, "left")
     key = lambda x: F.struct(x["start"], x["end"], x["kind"], x["h1"], x["h2"])
-    looked_up = F.map_from_entries(F.transform("__classed", lambda x: F.struct(key(x), x["class"])))
-    got = F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.col("__map")[key(x)].alias("class")))
-    return joined.withColumn("__map", looked_up).withColumn(out, got).select(*[F.col(f"`{c}`") for c in names], out)
+    looked_up = F.map_from_entries(F.transform(told, lambda x: F.struct(key(x), x["class"])))
+    got = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.col(table)[key(x)].alias("class")))
+    return joined.withColumn(table, looked_up).withColumn(out, got).select(*[F.col(f"`{c}`") for c in names], out)
