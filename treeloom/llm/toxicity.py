@@ -121,12 +121,12 @@ def _train(prior: float):
     return run
 
 
-def train(keys: DataFrame, texts: DataFrame, prior: float, members: int = 3, max_positive: int = 6000, max_unlabelled: int = 12000, max_bytes: int = 64 << 20, seed: int = 3) -> np.ndarray | None:
-    """Mean weights of the members, the bias last; None without a positive.
+def training_rows(keys: DataFrame, texts: DataFrame, members: int = 3, max_positive: int = 6000, max_unlabelled: int = 12000, max_bytes: int = 64 << 20, seed: int = 3) -> DataFrame:
+    """(member, positive, k, features) of the rows that each member trains on.
 
     ``keys``: key, positive (true: known toxic, else unlabelled); ``texts``: key, text. Each member takes the keys that hash least under
-    its own seed, up to the two limits, and of those as many as hold ``max_bytes`` of features (of positives, and of others), so that very long texts
-    cannot fill a task. At most ``members * (max_positive + max_unlabelled)`` keys are thus broadcast to the scan of the
+    its own seed, up to the two limits, and of those the first that hold ``max_bytes`` of features (of positives, and of others; the last one may
+    exceed it), so that very long texts cannot fill a task. At most ``members * (max_positive + max_unlabelled)`` keys are thus broadcast to the scan of the
     texts, which do not move; only the features of the chosen ones do.
     """
     parts = None
@@ -138,7 +138,12 @@ def train(keys: DataFrame, texts: DataFrame, prior: float, members: int = 3, max
     chosen = texts.join(F.broadcast(keep(parts.distinct(), "toxic-chosen")), "key").select("member", "positive", "k", text_of("text").alias("text"))
     feats = chosen.mapInArrow(_featurise, "member int, positive boolean, k long, features binary")
     size = F.sum(F.octet_length("features")).over(Window.partitionBy("member", "positive").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-    feats = feats.withColumn("before", F.coalesce(size, F.lit(0))).where(F.col("before") < max_bytes).drop("before")
+    return feats.withColumn("before", F.coalesce(size, F.lit(0))).where(F.col("before") < max_bytes).drop("before")
+
+
+def train(keys: DataFrame, texts: DataFrame, prior: float, members: int = 3, **limits: int) -> np.ndarray | None:
+    """Mean weights of the members, the bias last; None without a positive. ``keys``, ``texts`` and ``limits`` are those of ``training_rows``."""
+    feats = training_rows(keys, texts, members, **limits)
     weights = feats.groupBy("member").applyInArrow(_train(prior), "member int, feature long, weight double").groupBy("feature").agg(F.sum("weight").alias("w")).collect()
     if not any(r["feature"] >= 0 for r in weights):
         return None
