@@ -2,13 +2,14 @@
 
 1. Word weights are inverse frequencies over all documents (hashed to ``2**BITS`` bins, summed per task).
 2. The benchmark's passages as a TF-IDF matrix A get a randomised SVD, computed over the partitions: with a random matrix W the
-   sketch Y = A W is made orthonormal by the Cholesky factor of Y'Y (a sum of small squares), B = Q'A is summed by word, and the
+   sketch Y = A W is made orthonormal by the eigenvectors of Y'Y (a sum of small squares), B = Q'A is summed by word, and the
    eigenvectors of BB' turn it into the latent axes.
-3. Documents are scanned: an item is a candidate wherever a run of its ``verbatim`` words stands, and wherever so many of its rarest words
-   stand close together that its longest common subsequence could be long enough. Both are exact, so no cosine decides; the latent cosine
-   of each hit is given beside it.
+3. Documents are scanned for candidates. A passage of a text is one if its latent cosine with an item is ``min_cosine`` or more. An index says which passages
+   are worth projecting: a paraphrase that could pass the checks below holds enough of the item's rarest words close together, and this bound leaves
+   none out. Passages of the item's length are projected, a quarter of it apart, and the best one counts.
 4. A candidate is a hit if the longest common subsequence of words covers ``min_lcs`` of the item and the answer (the item's last
-   quarter, or its own column) is covered by half; or if ``verbatim`` words or more stand in the region in one run.
+   quarter, or its own column) is covered by half. Runs of ``verbatim`` words (of all words of a shorter item) are looked up exactly, and are
+   hits whatever their cosine.
 
 The benchmark is taken in scans of about ``BLOCK`` items and ``BLOCK_BYTES`` bytes; what goes to the tasks for a scan is bounded by that.
 A scan's items lie in latent blocks of about ``rank`` items, and a block has as many axes as items: no part of an item is left out.
@@ -171,6 +172,18 @@ class Index:
         return (x / max(np.sqrt((x**2).sum()), 1e-12)).astype(np.float32)
 
 
+    def nearest(self, item: int, words: np.ndarray, size: int) -> float:
+        """Largest cosine of an item of the block with a passage of ``size`` words."""
+        b = _bin(words)
+        at = np.minimum(np.searchsorted(self.bins, b), len(self.bins) - 1)
+        each = np.where((self.bins[at] == b)[:, None], self.axes[at] * self.idf[b][:, None], 0)
+        sums = np.zeros((len(b) + 1, each.shape[1]))
+        np.cumsum(each, 0, out=sums[1:])
+        first = np.unique(np.append(np.arange(0, max(1, len(b) - size + 1), max(1, size // 4)), max(0, len(b) - size)))
+        x = sums[np.minimum(first + size, len(b))] - sums[first]
+        return float((x @ self.items[item] / np.maximum(np.sqrt((x**2).sum(1)), 1e-12)).max())
+
+
 class Runs:
     """Every run of ``verbatim`` words of the items (of all words of a shorter item), to be looked up in texts."""
 
@@ -274,10 +287,11 @@ class Items:
         return max(REGION + 2 * WINDOW, 2 * len(self.words[item]))
 
     def cosine(self, item: int, words: np.ndarray) -> float:
+        """Latent cosine of the item with the best passage of its length among ``words``."""
         block = next(x for x in reversed(self.blocks) if x.start <= item)
-        return float(block.project(words) @ block.items[item - block.start])
+        return block.nearest(item - block.start, words, len(self.words[item]))
 
-    def judge(self, item: int, h: np.ndarray, number: np.ndarray, lo: int, hi: int, min_lcs: float, sure: bool) -> tuple[float, float, int] | None:
+    def judge(self, item: int, h: np.ndarray, number: np.ndarray, lo: int, hi: int, min_lcs: float, min_cosine: float, sure: bool) -> tuple[float, float, int] | None:
         """Cosine, LCS share and longest run of the best window of words ``lo`` to ``hi``, if one is a hit or ``sure``.
 
         Windows hold ``reach`` words and one begins at every word of the item: no other could hold more of it.
@@ -288,7 +302,7 @@ class Items:
             present = np.zeros(len(self.vocabulary) + 1, bool)
             present[number[lo:hi]] = True
             there = present[self.numbers[item]].sum() / len(words)
-            if there < min_lcs or common_subsequence(words, h[lo:hi]) / len(words) < min_lcs:
+            if there < min_lcs or self.cosine(item, h[lo:hi]) < min_cosine or common_subsequence(words, h[lo:hi]) / len(words) < min_lcs:
                 return None
         present = np.zeros(len(self.vocabulary) + 1, bool)
         present[self.numbers[item]] = True
@@ -305,7 +319,7 @@ class Items:
         return best and (self.cosine(item, best[1]), best[0], longest_run(words, best[1]))
 
 
-def _scan(items: Items, min_lcs: float):
+def _scan(items: Items, min_lcs: float, min_cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in vec.chunks(batch, "text"):
@@ -321,7 +335,7 @@ def _scan(items: Items, min_lcs: float):
                     """Judge what lies within the item's reach of words ``first`` to ``last``."""
                     doc, reach = int(rows[first]), items.reach(item)
                     lo, hi = max(first - reach, int(np.searchsorted(rows, doc))), min(last + reach, int(np.searchsorted(rows, doc, "right")))
-                    got, old = items.judge(item, h, number, lo, hi, min_lcs, sure), found.get((doc, item))
+                    got, old = items.judge(item, h, number, lo, hi, min_lcs, min_cosine, sure), found.get((doc, item))
                     if got and (old is None or got[1:] > old[1:]):
                         found[doc, item] = got
 
@@ -340,7 +354,7 @@ def _scan(items: Items, min_lcs: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, rank: int = 160, min_lcs: float = 0.6, verbatim: int = 13) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, rank: int = 160, min_lcs: float = 0.6, min_cosine: float = 0.3, verbatim: int = 13) -> DataFrame:
     """(id, item id, cosine, lcs_share, verbatim_words) of every leak found; ids keep the document's type, items are long."""
     kind = docs.schema[id_col].dataType.simpleString()
     fields = "doc " + kind + ", item long, cosine double, lcs_share double, verbatim_words long"
@@ -366,7 +380,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             answers += [_tokens(*vec.flat(pa.array([r["answer"]])))[0] if r["answer"] else w[-max(3, len(w) // 4) :] for r, w in split]
         if not blocks:
             continue
-        part = rows.mapInArrow(_scan(Items(ids, words, answers, blocks, verbatim, min_lcs), min_lcs), fields)
+        part = rows.mapInArrow(_scan(Items(ids, words, answers, blocks, verbatim, min_lcs), min_lcs, min_cosine), fields)
         out = part if out is None else out.unionByName(part)
     out = rows.sparkSession.createDataFrame([], fields) if out is None else out
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
