@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import MISSING, correct, last_feature, percent
 from .error_matrix import with_full
+from .written import written
 
 POS = "UPOS"
 
@@ -70,9 +71,9 @@ def signature_table(quad: DataFrame, names: list[str], control: bool = False, st
     Containment is a relational division: a signature's parts meet the parts of gold annotations on equality, and a group
     of tokens contains it if all its parts met. Tokens are first grouped by annotation, so the join sees distinct ones.
     """
-    # distinct combinations of values are few: tokens are counted once, and the counts doubled
+    # distinct combinations of values are few: tokens are counted once and written, and the counts doubled
     rows = values(quad, names, str_names)
-    rows = with_full(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("k")))
+    rows = with_full(written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("k")), "signature-values"))
     sig = F.array_join(signature(names, control), ",")
     found = rows.withColumn("sig", sig).where("sig <> ''").groupBy("subset", "sig").agg(F.sum("k").alias("n"))
     gold = [F.when(_in_both(n), F.concat_ws(":", F.lit(n), f"{n}_str_g", f"{n}_ud_g")) for n in names]
