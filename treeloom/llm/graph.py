@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import free, keep
+
+
+#: Rows of an edge or pair table that a file holds at least, so that few rows do not lie in many files.
+PER_FILE = 100_000
+
+
+def files_for(rows: int) -> int:
+    return max(8, -(-rows // PER_FILE))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,17 +22,23 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is written, so lineage stays short; a node's edges are only ever reduced to their minimum (pre-aggregated) and joined
     back (a join that can split a hot node). Rounds grow with the logarithm of the longest path.
     """
-    now, before = keep(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
+    now = edges.where("u <> v").select("u", "v").distinct()
+    now, before = keep(now, "edges"), None
+    parts = files_for(now.count())  # no round has more edges
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = keep(large, "edges-large")
+        large = keep(large.coalesce(parts), "edges-large")
+        last = now
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(parent, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = keep(small.unionByName(parent.select("u", F.col("m").alias("v"))).distinct(), "edges-small")
+        seen = Observation()
+        now = small.unionByName(parent.select("u", F.col("m").alias("v"))).distinct().coalesce(parts)
+        now = keep(now.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("x")), "edges-small")
+        free(last, large)
         # the stars no longer change: the same edges as a round ago
-        mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        mark = seen.get["n"], seen.get["x"]
         if mark == before:
             return now.select("u", F.col("v").alias("root"))
         before = mark
