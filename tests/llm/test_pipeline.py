@@ -31,3 +31,38 @@ def test_pipeline(spark, tmp_path):
         ids = [*model.encode(texts[i].removeprefix("A line of all\n"), add_special_tokens=False).ids, 0]
         want[i] = [(s, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for s in range(0, len(ids), 1024) for p in [ids[s : s + 1024]]]
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, number int, __id int, root int"
+
+
+def test_near_duplicates_of_odd_rows(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    make = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    a, b = make(80), make(80)
+    near = a.replace(a.split()[40], "changed", 1)
+    rows = [(5, a), (5, a), (3, near), (3, b), (9, b), (None, b), (7, None), (7, None), (8, ""), (2, make(60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 4, 5, 6) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    # of a's family the near copy has the least id; rows that share an id go with their own texts; repeated rows are one; texts without words stay
+    want = {(3, near), (3, b), (7, None), (8, ""), (2, rows[-1][1])}
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_the_columns(spark, tmp_path):
+    long = " ".join(f"word{i * i % 4999}" for i in range(30_000))
+    rows = [(i, t, "en", "s", 1, 4, 5, 6) for i, t in enumerate([None, "", long, "again and again " * 40, " ".join(f"own{i}" for i in range(90))])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame([(1, "some words of a benchmark item that nobody copied at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert {r["doc_id"] for r in docs.collect()} == {2, 4}
