@@ -302,7 +302,8 @@ class Items:
             present = np.zeros(len(self.vocabulary) + 1, bool)
             present[number[lo:hi]] = True
             there = present[self.numbers[item]].sum() / len(words)
-            if there < min_lcs or self.cosine(item, h[lo:hi]) < min_cosine or common_subsequence(words, h[lo:hi]) / len(words) < min_lcs:
+            # both have to hold, and the common subsequence of so few words is told faster than the cosine
+            if there < min_lcs or common_subsequence(words, h[lo:hi]) / len(words) < min_lcs or self.cosine(item, h[lo:hi]) < min_cosine:
                 return None
         present = np.zeros(len(self.vocabulary) + 1, bool)
         present[self.numbers[item]] = True
