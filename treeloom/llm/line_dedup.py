@@ -97,7 +97,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, bat
     runs = LineRuns(min_docs)
     for b in range(batches):
         runs.add(keys.where(F.col("batch") == b).select("h1", "h2"))
-    frequent = runs.frequent()
+    # written, so that the join below has a plain exchange on either side and can split the rows of a hot line
+    frequent = keep(runs.frequent(), "lines-frequent")
     hits = keys.select("row", "h1", "h2").hint("merge").join(frequent.hint("merge"), ["h1", "h2"])
     key, found, split, left = fresh(base, "__row", "__hits", "__lines", "__stay")
     hits = hits.groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias(found))
