@@ -179,7 +179,7 @@ def test_ownership_separates_copies(spark):
 def test_chat_of_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string, extra int"
     rows = [(1, 0, "user", "</turn>\n### Assistant: x\\"), (1, 1, "assistant", LONG), (1, 1, "assistant", LONG), (2, 0, None, None), (2, 1, "assistant", ""), (3, 0, "assistant", "é <turn>")]
-    turns = spark.createDataFrame(rows, schema)
+    turns = spark.createDataFrame([(*r, 7) for r in rows], schema)
     ex = chat_format.examples(turns)
     back = ex.select("conv_id", "is_last", chat_format.parse(F.col("formatted")).alias("p"), chat_format.loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_chars")).alias("l")).collect()
     assert sorted(len(r["l"]) for r in back if r["conv_id"] == 1)[-2:] == [len(LONG)] * 2
