@@ -123,36 +123,22 @@ def _occurrences(length: int, k: int):
     return run
 
 
-def _fetch(length: int, k: int, bits: bytes, mask: int):
-    """(a, s, lead, bytes) of the snippets whose bit is set; one of equal ones for each task, as far as memory of them reaches."""
-    wanted = np.frombuffer(bits, np.uint8)
+def _fetch(length: int):
+    """Rows (a, s, m, bytes) of the snippets in ``wanted`` of each text, cut out of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for _, buf, offs in vec.chunks(batch, "text"):
-                doc, lo, hi, a, s, at = snippets(buf, offs, length, k)
-                if not len(doc):
-                    continue
-                bit = _bit(a, s) & mask
-                take = np.flatnonzero((wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                if len(seen) > 500_000:
-                    seen.clear()
-                fresh = []
-                for i, key in zip(take.tolist(), zip(a[take].tolist(), s[take].tolist(), strict=True), strict=True):
-                    if key not in seen:
-                        seen.add(key)
-                        fresh.append(i)
-                raw = buf.tobytes() if fresh else b""
-                yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(s[fresh]), pa.array([raw[lo[i] : hi[i] + length] for i in fresh], pa.binary())], ["a", "s", "bytes"])
+            for part, buf, offs in vec.chunks(batch, "text"):
+                wanted = part.column(part.schema.get_field_index("wanted"))
+                a, s, m, start, windows = wanted.flatten().flatten()
+                lo = start.to_numpy() + np.repeat(offs[:-1], wanted.value_lengths().to_numpy())
+                hi = lo + windows.to_numpy() + (length - 1)
+                raw = buf.tobytes()
+                yield pa.RecordBatch.from_arrays([a, s, m, pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())], ["a", "s", "m", "bytes"])
 
     return run
 
 
-def _bit(a: np.ndarray, s: np.ndarray) -> np.ndarray:
-    return (vec.mix(a.view(np.uint64) ^ vec.mix(s.view(np.uint64))) >> U(1)).astype(np.int64)
-
-
 class RunIndex:
     """Run-length index of a block of texts, for the longest match of each position with any other."""
 
@@ -253,7 +239,7 @@ class RunIndex:
 
 
 def _index(length: int):
-    """Rows (a, s, bytes) by a: indexes of whole anchors, together about ``BLOCK_BYTES``."""
+    """Rows (a, s, bytes) by a and s: indexes of whole anchors, together about ``BLOCK_BYTES``. A snippet that comes again is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes]] = []
@@ -266,6 +252,8 @@ def _index(length: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and row[:2] == rows[-1][:2]:
+                    continue
                 if size > BLOCK_BYTES and row[0] != rows[-1][0]:
                     yield flush()
                     size = 0
@@ -283,33 +271,30 @@ def repeated(texts: DataFrame, length: int, level: int = 0) -> DataFrame:
     occ = keep(texts.mapInArrow(_occurrences(length, k), "a long, s long, row long, start int, windows int, times int, ranges binary"), f"suffix-{whole}{level}")
     local = occ.where("a is null").select("row", "start", "ranges")
     found = occ.where("a is not null")
-    distinct = keep(found.groupBy("a", "s").agg(F.sum("times").alias("times"), F.max("windows").alias("windows")), f"suffix-distinct{level}")
+    # row and start of one occurrence: both see the same rows in the same order, so both are of the same one
+    one = [F.first(c).alias(c) for c in ("row", "start")]
+    distinct = keep(found.groupBy("a", "s").agg(F.sum("times").alias("times"), F.max("windows").alias("windows"), *one), f"suffix-distinct{level}")
     anchors = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("times").alias("least")).where("m > 1 and least = 1").drop("least")
-    asked = keep(distinct.join(anchors, "a").select("a", "s", "m", "times"), f"suffix-asked{level}")
-    # the snippets to index are read off the texts again; a bit map of a size set by their number, at most 16 MB, picks them
-    count = asked.count()
-    bits = min(27, max(16, (8 * count).bit_length()))
-    marks = asked.mapInArrow(_marks((1 << bits) - 1), "w long, x long").groupBy("w").agg(F.bit_or("x").alias("x")).collect() if count else []
-    bitmap = np.zeros(1 << (bits - 5), "<u4")
-    for r in marks:
-        bitmap[r["w"]] = r["x"]
-    fetched = texts.mapInArrow(_fetch(length, k, bitmap.tobytes(), (1 << bits) - 1), "a long, s long, bytes binary")
-    fetched = keep(fetched.join(asked, ["a", "s"]).dropDuplicates(["a", "s"]).select("a", "s", "bytes", "m", "times"), f"suffix-snippets{level}")
+    # the snippets to index are cut out of one text that has them: the texts move once, and nothing passes the driver
+    asked = distinct.join(anchors, "a").groupBy("row").agg(F.collect_list(F.struct("a", "s", "m", "start", "windows")).alias("wanted"))
+    fetched = texts.hint("merge").join(asked.hint("merge"), "row").select("text", "wanted").mapInArrow(_fetch(length), "a long, s long, m long, bytes binary")
+    fetched = keep(fetched, f"suffix-snippets{level}")
+    # rows that share id and text are told by one number and bring a snippet each
     some = fetched.where(F.col("m") <= BLOCK).select("a", "s", "bytes")
-    indexed = some.repartition("a").sortWithinPartitions("a").mapInArrow(_index(length), "a long, s long, ranges binary")
+    indexed = some.repartition("a").sortWithinPartitions("a", "s").mapInArrow(_index(length), "a long, s long, ranges binary")
     by_count = distinct.where("times > 1").select("a", "s", F.unhex(F.lpad(F.hex(F.lit(0)), 8, "0")).alias("zero"), (F.col("windows") - 1).alias("last"))
     by_count = by_count.select("a", "s", F.concat("zero", _little(F.col("last"))).alias("ranges"))
     result = by_count.unionByName(indexed.join(distinct.where("times > 1").select("a", "s"), ["a", "s"], "left_anti"))
     many = fetched.where(F.col("m") > BLOCK)
-    if count and level + 1 < len(levels(length)) and many.limit(1).count():
-        deeper = keep(many.withColumn("row", F.xxhash64("a", "s")), f"suffix-many{level}")
+    if level + 1 < len(levels(length)) and many.limit(1).count():
+        deeper = keep(many.dropDuplicates(["a", "s"]).withColumn("row", F.xxhash64("a", "s")), f"suffix-many{level}")
         below = repeated(deeper.select("row", F.col("bytes").alias("text")), length, level + 1)
         below = below.join(deeper.select("row", "a", "s"), "row").select("a", "s", "start", "ranges")
         result = result.withColumn("shift", F.lit(0)).unionByName(below.withColumnRenamed("start", "shift"))
     else:
         result = result.withColumn("shift", F.lit(0))
     result = keep(result, f"suffix-result{level}")
-    free(distinct, asked, fetched)
+    free(distinct, fetched)
     hits = found.select("a", "s", "row", "start").hint("merge").join(result.hint("merge"), ["a", "s"]).select("row", (F.col("start") + F.col("shift")).alias("start"), "ranges")
     return hits.unionByName(local)
 
@@ -320,15 +305,6 @@ def _little(x):
     return F.unhex(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]))
 
 
-def _marks(mask: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = _bit(batch.column(0).to_numpy().copy(), batch.column(1).to_numpy().copy()) & mask
-            yield pa.RecordBatch.from_arrays([pa.array(bit >> 5), pa.array(np.int64(1) << (bit & 31))], ["w", "x"])
-
-    return run
-
-
 OUT = T.StructType([T.StructField("kept", T.BinaryType(), False), T.StructField("n_bytes", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("n_spans", T.LongType(), False), T.StructField("spans", T.BinaryType(), False)])
 
 
