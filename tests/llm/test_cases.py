@@ -2,10 +2,13 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +93,23 @@ def test_links_of_odd_rows(odd):
     assert all(r["component_id"] == 6 for r in got if r["n_shingles"] > 1000)
 
 
+@pytest.mark.parametrize("words", [8, 400])
+def test_signatures_in_little_memory(words):
+    """A batch of Spark's size, of short or of longer texts: what is held besides its own rows does not grow with them."""
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 99991}" for j in range(words)) for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(range(10_000)), pa.array(texts)], ["doc", "t", "text"])
+    run = ngram_join._signatures(5)
+    list(run(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    try:
+        rows = sum(out.filter(pc.equal(out.column(0), 0)).num_rows for out in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 10_000
+    assert peak < 20 << 20
+
+
 def test_join_of_many_rows_in_meeting_families(spark):
     rng = np.random.default_rng(11)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]

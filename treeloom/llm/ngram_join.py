@@ -37,7 +37,7 @@ from .common import free, keep
 from .graph import components, files_for
 
 HOT, DIMS, BLOCK, LEAF, KEYS, ROUND = 4096, 512, 4096, 32, 4, 4
-BITS = 24
+BITS, TALLY = 24, 1 << 20
 U = np.uint64
 
 
@@ -84,6 +84,14 @@ def _signatures(width: int):
             often.clear()
             return pa.RecordBatch.from_arrays(out, names)
 
+        def tally():
+            distinct, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *waiting]), return_counts=True)
+            seen = times >= 3
+            for x, t in zip(distinct[seen].view(np.int64).tolist(), times[seen].tolist(), strict=True):
+                often[x] = often.get(x, 0) + t
+
+        # shingles of about TALLY bytes are counted together: few are met three times in less
+        waiting, held = [], 0
         for batch in batches:
             for part, buf, offs in vec.chunks(batch, "text"):
                 n = len(offs) - 1
@@ -97,16 +105,22 @@ def _signatures(width: int):
                     if has.any():
                         out[has] = np.minimum.reduceat(v, first[has])
                     keys.append(pa.array(out))
-                group = np.bincount(at * DIMS + (h >> U(64 - DIMS.bit_length() + 1)).astype(np.int64), minlength=n * DIMS).reshape(n, DIMS)
-                group = np.minimum(group, 255).astype(np.uint8)
-                coarse = pa.array([x.tobytes() for x in group], pa.binary())
+                coarse, place = [], (h >> U(64 - DIMS.bit_length() + 1)).astype(np.int64)
+                for lo in range(0, n, 512):  # a chunk may have very many short texts
+                    own, hi = slice(*np.searchsorted(at, (lo, lo + 512))), min(lo + 512, n)
+                    group = np.bincount((at[own] - lo) * DIMS + place[own], minlength=(hi - lo) * DIMS).reshape(-1, DIMS)
+                    coarse += [x.tobytes() for x in np.minimum(group, 255).astype(np.uint8)]
+                coarse = pa.array(coarse, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), part.column(1), pa.array(size), *map(pa.array, c), *keys, coarse], names)
-                distinct, times = np.unique(h, return_counts=True)
-                seen = times >= 3
-                for x, t in zip(distinct[seen].view(np.int64).tolist(), times[seen].tolist(), strict=True):
-                    often[x] = often.get(x, 0) + t
+                waiting.append(h)
+                held += len(buf)
+                if held >= TALLY:
+                    tally()
+                    waiting, held = [], 0
                 if len(often) > 50 * HOT:
                     yield tallies()
+            tally()
+            waiting, held = [], 0
         yield tallies()
 
     return run
