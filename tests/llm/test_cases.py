@@ -150,6 +150,23 @@ def test_join_of_many_rows_in_meeting_families(spark):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_join_of_many_small_families_in_one_group(spark, monkeypatch):
+    """Pairs that only a large group holds are left to completion, and not to a round for every two of them."""
+    monkeypatch.setattr(ngram_join, "HOT", 0)
+    hashes = lambda t: ngram_join.sets_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0]
+    mixed = lambda h: np.array([ngram_join.vec.mix(h ^ np.uint64(0x1234567 * (k + 1))).view(np.int64).min() for k in range(ngram_join.KEYS)])
+    # seven words of all texts, two of whose three shingles come first in the common order; no min-hash tells of the families
+    shared = min((" ".join(f"s{i}x{j}" for j in range(7)) for i in range(2000)), key=lambda t: hashes(t)[1])
+    families = [f"own{i}" for i in range(300) if (mixed(hashes(f"{shared} own{i}")) == mixed(hashes(shared))).all()][:60]
+    rows = [(2 * i + k, " ".join([shared, x, f"end{x}"][: 3 - k])) for i, x in enumerate(families) for k in (0, 1)]
+    assert len(rows) == 120
+    turns, stars = [], ngram_join._stars
+    monkeypatch.setattr(ngram_join, "_stars", lambda *a: turns.append(a[-1]) or stars(*a))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+    assert len(turns) <= 3
+
+
 def test_large_groups_lie_in_several_trees(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     rng = np.random.default_rng(3)

@@ -8,9 +8,10 @@ a tree node at most the sum with the node's maxima. All candidates come from sea
 2. Groups that hold all that may link. Those of one min-hash have most near copies. Those of one shingle are complete: with a common order of
    shingles two sets of Jaccard 0.75 share one of their first n - ceil(0.75 n) + 1 (prefix filter). Shingles found often come last in the
    order (a list of at most ``HOT``, which affects cost only). Groups whose members all are in one component have nothing to add and go.
-3. Rounds: in each group two pivots search the group's tree, each member takes the best pivot that found it, and that pair is verified. So a
+3. Rounds: in each group a few pivots search the group's tree, each member takes the best pivot that found it, and that pair is verified. So a
    round has at most as many pairs as members, also among thousands of near copies. Rounds go on while more than one pair in ``ROUND`` is a new link
-   (that affects cost only).
+   and ``_spared`` exceeds the members (that affects cost only): a round reads all members, and spares completion about the pairs among those
+   that a pivot links. Many small families that meet in a group would take a round each.
 4. Completion, exact: in the groups that still hold several components all members search, and all pairs of different
    components that the trees let pass and no round has tried are verified.
 5. Verification compares finer counts, then whole sets; components are the answer.
@@ -36,7 +37,7 @@ from . import vec
 from .common import free, keep
 from .graph import components, files_for
 
-HOT, DIMS, BLOCK, LEAF, KEYS, ROUND = 4096, 512, 4096, 32, 4, 4
+HOT, DIMS, BLOCK, LEAF, KEYS, ROUND, DRAWN = 4096, 512, 4096, 32, 4, 4, 4
 BITS, TALLY = 24, 1 << 20
 U = np.uint64
 
@@ -472,17 +473,20 @@ def _mixed(members: DataFrame, roots: DataFrame | None, percent: int) -> DataFra
 def _stars(members: DataFrame, classes: DataFrame, tried: DataFrame | None, percent: int, turn: int) -> DataFrame:
     """At most one pair (u, v) for each member v: its best pivot among those that found it.
 
-    Two members of a group ask: the one that meets most others, as that is likely the text of which the others are copies, and one of
-    another component, drawn anew each ``turn``, as two families of copies may meet in a group. Members of a size that neither can link with stay out.
+    A few members of a group ask: the one that meets most others, as that is likely the text of which the others are copies, and up to ``DRAWN`` of
+    other components, drawn anew each ``turn``, as families of copies may meet in a group. Members of a size that none can link with stay out.
     """
     popular = members.groupBy("c").agg(F.sum("m").alias("met"))
     ranked = keep(members.join(popular, "c"), "join-ranked")
     first = ranked.groupBy("sh").agg(F.max(F.struct("met", "c", "label", "n")).alias("p"))
     apart = ranked.join(first, "sh").where("label <> p.label")
-    drawn = F.xxhash64("c", F.lit(turn))
-    second = apart.groupBy("sh").agg(*[F.max_by(x, drawn).alias(f"q_{x}") for x in ("c", "label", "n")])
-    rows = ranked.join(first.join(second, "sh"), "sh").withColumn("asks", (F.col("c") == F.col("p.c")) | (F.col("c") == F.col("q_c")))
-    near = F.col("asks") | (_alike("n", "p.n", percent) & (F.col("label") != F.col("p.label"))) | (_alike("n", "q_n", percent) & (F.col("label") != F.col("q_label")))
+    drawn = [F.max_by(F.struct("c", "label", "n"), F.xxhash64("c", F.lit(turn * DRAWN + i))).alias(f"q{i}") for i in range(DRAWN)]
+    second = apart.groupBy("sh").agg(*drawn)
+    asking = ["p", *[f"q{i}" for i in range(DRAWN)]]
+    rows = ranked.join(first.join(second, "sh"), "sh").withColumn("asks", F.col("c").isin(*[F.col(f"{q}.c") for q in asking]))
+    near = F.col("asks")
+    for q in asking:
+        near |= _alike("n", f"{q}.n", percent) & (F.col("label") != F.col(f"{q}.label"))
     found = searched(rows.where(near).select(*ranked.columns, "asks"), classes, percent)
     if tried is not None:
         found = found.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")}).join(tried.select(F.col("u").alias("lo"), F.col("v").alias("hi")), ["lo", "hi"], "left_anti")
@@ -492,6 +496,12 @@ def _stars(members: DataFrame, classes: DataFrame, tried: DataFrame | None, perc
     return out
 
 
+def _spared(links: DataFrame, n: int) -> int:
+    """Squares of the numbers of links that each class has, summed: about the pairs that completion would try without them."""
+    each = links.select(F.explode(F.array("u", "v")).alias("c")).coalesce(files_for(n)).groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    return each.agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0
+
+
 def _rest(members: DataFrame, classes: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that the trees let pass and that were not tried.
 
@@ -544,7 +554,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_
         if found:
             sure = sure.unionByName(more)
             roots = components(sure)
-        if found * ROUND <= asked:
+        if found * ROUND <= asked or _spared(more, found) <= members.count():
             break
     last = _mixed(members, roots, percent)
     free(members)
