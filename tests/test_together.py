@@ -16,6 +16,7 @@ from treeloom.plans import catalog, fixture
 SF = "/root/testdata/sf0.001"
 NO_JOIN = [
     "a14_label_confusion",
+    "t26_comparison",
 ]
 
 
