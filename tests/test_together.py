@@ -20,6 +20,7 @@ NO_JOIN = [
     "j6_k8_aligned_table",
     "t27_alignment",
     "j2_quad",
+    "a16_j11_consistent_tokens",
 ]
 
 

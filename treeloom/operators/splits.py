@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,12 @@ def consistent(runs: DataFrame) -> DataFrame:
     return by.where("h = 1 and r = 1").select("sent_id", "id")
 
 
+def consistent_wide(*runs: list[Column]) -> Column:
+    """The same of a row that holds all runs: of each list, a column of predictions for each run, the known ones are one and the same."""
+    # what is no null, each once
+    return reduce(lambda a, b: a & b, [F.size(F.array_except(F.array(*x), F.array(F.lit(None)))) == 1 for x in runs])
+
+
 def consistent_in_both(ud_runs: DataFrame, str_runs: DataFrame) -> DataFrame:
     """Tokens that all runs of both annotations agree on: one aggregation over both, no join."""
     both = ud_runs.select("sent_id", "id", F.lit(0).alias("s"), "head_p", "deprel_p").unionByName(str_runs.select("sent_id", "id", F.lit(1).alias("s"), "head_p", "deprel_p"))
