@@ -22,6 +22,7 @@ NO_JOIN = [
     "j2_quad",
     "a16_j11_consistent_tokens",
     "a16_consistency",
+    "f17_relation_rules",
 ]
 
 

@@ -116,9 +116,19 @@ def relation() -> Column:
     Reads upos, lemma, gcase (its Case), verbform, voice, has_relative (a dependent is a relative pronoun), has_preposition (a dependent is one, as case),
     has_quantity (the sentence has a word of quantity), head_upos (in the source's tags) and head_lemma.
     """
-    out = F.lit("TEMP")
-    for own, head, condition, rel in reversed(RULES):
-        tests = [F.col("upos").isin(*own) if own else None, F.col("head_upos").isin(*head) if head else None, F.expr(condition) if condition else None]
-        holds = reduce(lambda a, b: a & b, [t for t in tests if t is not None])
-        out = F.when(F.coalesce(holds, F.lit(False)), F.lit(rel)).otherwise(out)
-    return out
+    # a bit for each rule: those that a part of speech allows, those of the head's, those whose condition holds. A chain of all rules is a method too long for the JVM to compile
+    mask = lambda rules: sum(1 << i for i in rules)
+
+    def allowed(column: str, k: int) -> Column:
+        names = sorted({x for r in RULES for x in r[k] or ()})
+        of = lambda x: mask(i for i, r in enumerate(RULES) if r[k] is None or x in r[k])
+        table = F.create_map(*[c for x in names for c in (F.lit(x), F.lit(of(x)).cast("long"))])
+        return F.coalesce(table[F.col(column)], F.lit(of(None)).cast("long"))
+
+    held = F.lit(mask(i for i, r in enumerate(RULES) if r[2] is None)).cast("long")
+    for condition in dict.fromkeys(r[2] for r in RULES if r[2]):
+        held = held.bitwiseOR(F.when(F.coalesce(F.expr(condition), F.lit(False)), F.lit(mask(i for i, r in enumerate(RULES) if r[2] == condition)).cast("long")).otherwise(F.lit(0).cast("long")))
+    all_ = allowed("upos", 0).bitwiseAND(allowed("head_upos", 1)).bitwiseAND(held)
+    # of the bits that are left the lowest is the first rule that holds
+    first = F.bit_count(all_.bitwiseXOR(all_ - 1)).cast("int") - 1
+    return F.coalesce(F.get(F.array(*[F.lit(r[3]) for r in RULES]), F.when(all_ != 0, first)), F.lit("TEMP"))
