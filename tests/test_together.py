@@ -7,6 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from treeloom.functions import columns as C
+from treeloom.functions import grams
+from treeloom.functions.values import per_value
 from treeloom.operators import correspondence as P
 from treeloom.operators import edges as E
 from treeloom.operators import together as T
@@ -23,6 +26,7 @@ NO_JOIN = [
     "a16_j11_consistent_tokens",
     "a16_consistency",
     "f17_relation_rules",
+    "f13_gram_tags",
 ]
 
 
@@ -36,6 +40,26 @@ def test_no_join_and_no_shuffle_of_tokens(spark, name):
     assert "Join" not in said and "hashpartitioning(sent_id" not in said and "Exchange hashpartitioning(doc_id" in said
 
 
+def test_features_without_lambdas(spark):
+    f = F.lit("A=1")
+    for c in (C.feature(f, "A"), C.last_feature(f, "A")):
+        assert "lambda" not in str(c)
+    rows = spark.createDataFrame([(None,), ("",), ("Case=a",), ("Case=a|Case=b",), ("XCase=a",), ("Case",), ("Case=",), ("X=1|Case=a=b|Y=2",)], "feats string")
+    got = [tuple(r) for r in rows.select(C.feature(F.col("feats"), "Case"), C.last_feature(F.col("feats"), "Case")).collect()]
+    none = ("∅", "∅")
+    assert got == [none, none, ("a", "a"), ("a", "b"), none, none, ("", ""), ("a=b", "a=b")]
+
+
+def test_texts_as_columns(spark):
+    raw = ["NID ABC ЧТО|ТО", "S ЕД ИМ", "S МН ТВОР РОД|МЕТА", "", None, "S", "NID", "nid x", "NID 1 ЕД", "S СЛ|НЕПРАВ НЕСТАНД", "S НЕТ", "V НЕСОВ\tСТРАД  НЕСОВ"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "n long, x string")
+    got = {r["n"]: (r["upos"], r["feats"], r["misc"]) for r in per_value(rows, "x", grams.parse_text, ("upos", "feats", "misc")).collect()}
+    assert got == {r["n"]: tuple(r["p"]) for r in rows.select("n", grams.parse(F.col("x")).alias("p")).collect()}
+    feats = spark.createDataFrame([(x,) for x in (None, "", "_", "B=1|A=2", "A=1|A=2|B=x=y", "bare|=v|A=")], "f string")
+    for r in feats.select("f", C.parse_feats(F.col("f")).alias("p")).collect():
+        assert C.feats_of_text(r["f"]) == [tuple(x) for x in r["p"]]
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     """Random pairs of trees, a third of them alike, sentences scattered over small batches."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 #: Which feature a tag is a value of.
 GROUPS = {
     "Лицо": ("1-Л", "2-Л", "3-Л"),
@@ -42,19 +44,49 @@ def parse(raw: Column) -> Column:
     are dropped, and are listed in misc if there is nothing else.
     """
     parts = F.filter(F.split(F.coalesce(raw, F.lit("")), r"[|\s]+"), lambda x: x != "")
+    return let(parts, _of_parts)
+
+
+def parse_text(raw: str | None) -> tuple[str, str | None, str | None]:
+    """(upos, feats, misc): ``parse`` of one text."""
+    parts = [x for x in re.split(r"[|\s]+", raw or "", flags=re.ASCII) if x]
+    joined = len(parts) > 1 and parts[0].upper().startswith("NID") and re.fullmatch("[A-Za-z]+", parts[1]) is not None
+    rest = parts[2 if joined else 1 :]
+    known: dict[str, set[str]] = {}
+    for name, value in (TAGS[t] for t in rest if t in TAGS):
+        known.setdefault(name, set()).add(value)
+    items = sorted({f"{MISC[t]}=Да" for t in rest if t in MISC})
+    feats = "|".join(f"{n}={','.join(sorted(v))}" for n, v in known.items())
+    misc = "|".join(items) if items or known or not rest else f"StrGram={','.join(rest)}"
+    return "+".join(parts[:2]) if joined else parts[0] if parts else "_", feats or None, misc or None
+
+
+def _of_parts(parts: Column) -> Column:
     first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     joined = F.coalesce(F.startswith(F.upper(first), F.lit("NID")) & second.rlike("^[A-Za-z]+$"), F.lit(False))
-    upos = F.when(first.isNull(), "_").when(joined, F.concat_ws("+", first, second)).otherwise(first)
     rest = F.slice(parts, F.when(joined, 3).otherwise(2), F.greatest(F.size(parts), F.lit(1)))
-    name, value, misc = _map({t: n for t, (n, _) in TAGS.items()}), _map({t: v for t, (_, v) in TAGS.items()}), _map(MISC)
-    known = F.filter(F.transform(rest, lambda t: F.struct(name[t].alias("name"), value[t].alias("value"))), lambda x: x["name"].isNotNull())
-    names = F.array_distinct(F.transform(known, lambda x: x["name"]))
+    upos = F.when(first.isNull(), "_").when(joined, F.concat_ws("+", first, second)).otherwise(first)
+    misc = _map(MISC)
+    # each step is bound, as what an expression names twice is computed twice
+    named = lambda r: F.filter(F.transform(r, _known), lambda x: x["name"].isNotNull())
+    items = lambda r: F.array_sort(F.array_distinct(F.transform(F.filter(r, lambda t: misc[t].isNotNull()), lambda t: F.concat(misc[t], F.lit("=Да")))))
+    return let(rest, lambda r: let(named(r), lambda known: let(items(r), lambda i: F.struct(upos.alias("upos"), F.nullif(_listed(known), F.lit("")).alias("feats"), _said(r, known, i).alias("misc")))))
+
+
+def _known(tag: Column) -> Column:
+    name, value = _map({t: n for t, (n, _) in TAGS.items()}), _map({t: v for t, (_, v) in TAGS.items()})
+    return F.struct(name[tag].alias("name"), value[tag].alias("value"))
+
+
+def _listed(known: Column) -> Column:
+    """Features in the order of their first tags, each with its values sorted."""
     of = lambda n: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(known, lambda x: x["name"] == n), lambda x: x["value"]))), ",")
-    feats = F.array_join(F.transform(names, lambda n: F.concat(n, F.lit("="), of(n))), "|")
-    items = F.array_sort(F.array_distinct(F.transform(F.filter(rest, lambda t: misc[t].isNotNull()), lambda t: F.concat(misc[t], F.lit("=Да")))))
+    return F.array_join(F.transform(F.array_distinct(F.transform(known, lambda x: x["name"])), lambda n: F.concat(n, F.lit("="), of(n))), "|")
+
+
+def _said(rest: Column, known: Column, items: Column) -> Column:
     only = (F.size(known) == 0) & (F.size(items) == 0) & (F.size(rest) > 0)
-    said = F.when(only, F.concat(F.lit("StrGram="), F.array_join(rest, ","))).otherwise(F.nullif(F.array_join(items, "|"), F.lit("")))
-    return F.struct(upos.alias("upos"), F.nullif(feats, F.lit("")).alias("feats"), said.alias("misc"))
+    return F.when(only, F.concat(F.lit("StrGram="), F.array_join(rest, ","))).otherwise(F.nullif(F.array_join(items, "|"), F.lit("")))
 
 
 def to_ud_feats(feats: Column, lemma: Column, values: dict[str, dict[str, str]] | None = None) -> Column:
