@@ -48,6 +48,7 @@ NO_JOIN = [
     "a15_coverage",
     "a15_j11_certification_of_masked_tokens",
     "t28_swapped_rows",
+    "k5_ellipsis_dump",
 ]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import correspondence as P
+from ..operators import together as T
 from .conllu import read_blocks
 
 MORPH, SYNTAX = ("UPOS", "Feats", "AllTags"), ("UAS", "LAS", "UCM", "LCM", "UAS_ELL", "LAS_ELL")
@@ -28,15 +29,23 @@ def arcs(quad: DataFrame) -> DataFrame:
     return quad.select(F.lower(F.coalesce("form", F.lit("_"))).alias("word"), *names, elided.alias("ellipsis"), "text", "sent_id")
 
 
-def ellipsis_dump(quad: DataFrame) -> DataFrame:
-    """Each elided token with its head, relation and dependents in all four trees: one pass for each tree's dependents, by their heads."""
-    elided = quad.where("coalesce(upos_ud_g, '_') = '_'")
-    out, kinds = elided, [(s, r) for s in ("ud", "str") for r in "gp"]
+def ellipsis_dump(quad: DataFrame, together: bool = False) -> DataFrame:
+    """Each elided token with its head, relation and dependents in all four trees: one pass for each tree's dependents, by their heads.
+
+    Where the rows of a sentence stand ``together`` there is one pass in all, and no join.
+    """
+    kinds = [(s, r) for s in ("ud", "str") for r in "gp"]
+    named = lambda s, r: f"{s}_{'test' if r == 'g' else 'pred'}"
+    if together:
+        trees = {named(s, r): (f"head_{s}_{r}", f"deprel_{s}_{r}") for s, r in kinds}
+        rows = quad.select("sent_id", "id", *[c for x in trees.values() for c in x], F.expr("coalesce(upos_ud_g, '_') = '_'").alias("elided"))
+        each = [c for t, (h, r) in trees.items() for c in (F.col(h).alias(f"{t}_head"), F.col(r).alias(f"{t}_deprel"), F.col(f"{t}_ids").alias(f"{t}_deps_id"), F.col(f"{t}_rels").alias(f"{t}_deps_deprel"))]
+        return T.dependents(rows, "elided", trees).select("id", *each, "sent_id")
+    out = quad.where("coalesce(upos_ud_g, '_') = '_'")
     for s, r in kinds:
         kids = quad.where(F.col(f"head_{s}_{r}") > 0).groupBy("sent_id", F.col(f"head_{s}_{r}").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", F.col(f"deprel_{s}_{r}").alias("rel")))).alias(f"__{s}_{r}"))
         out = out.join(kids, ["sent_id", "id"], "left")
     listed = lambda s, r, field: F.coalesce(F.array_join(F.transform(f"__{s}_{r}", lambda x: x[field].cast("string")), ","), F.lit(""))
-    named = lambda s, r: f"{s}_{'test' if r == 'g' else 'pred'}"
     each = [c for s, r in kinds for c in (F.col(f"head_{s}_{r}").alias(f"{named(s, r)}_head"), F.col(f"deprel_{s}_{r}").alias(f"{named(s, r)}_deprel"), listed(s, r, "id").alias(f"{named(s, r)}_deps_id"), listed(s, r, "rel").alias(f"{named(s, r)}_deps_deprel"))]
     return out.select("id", *each, "sent_id")
 
