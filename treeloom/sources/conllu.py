@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import together as T
+
 FIELDS = ["id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc"]
 
 
@@ -41,8 +43,9 @@ def parse_tokens(blocks: DataFrame, strict: bool = False) -> DataFrame:
     ``strict`` raises on lines without ten columns and on ids that are no whole number, and skips forms that are an underscore.
     """
     keep = [c for c in blocks.columns if c != "block"]
-    lines = blocks.select(*keep, F.coalesce(comment(F.col("block"), "sent_id"), F.lit(None).cast("string")).alias("sent_id"), F.explode(F.split("block", "\n")).alias("line")).where("line <> '' and not startswith(line, '#')")
-    lines = lines.withColumn("c", F.split("line", "\t"))
+    lines = blocks.select(*keep, F.coalesce(comment(F.col("block"), "sent_id"), F.lit(None).cast("string")).alias("sent_id"), F.explode_outer(F.split("block", "\n")).alias("line")).where("line <> '' and not startswith(line, '#')")
+    # an array's only item is made once; a column would be split anew for each of the conditions
+    lines = lines.select("*", F.explode_outer(F.array(F.split("line", "\t"))).alias("c"))
     if strict:
         lines = lines.withColumn("c", F.when(F.size("c") == 10, F.col("c")).otherwise(F.raise_error(F.concat(F.lit("not ten columns: "), F.col("line")))))
         odd = (F.get("c", F.lit(1)) != "_") & ~F.get("c", F.lit(0)).rlike("^[0-9]+$")
@@ -92,13 +95,19 @@ def manifest(files: DataFrame) -> DataFrame:
     )
 
 
-def to_blocks(tokens: DataFrame, *by: str) -> DataFrame:
-    """(by..., block): sentences as CoNLL-U text; missing columns are underscores."""
+def to_blocks(tokens: DataFrame, *by: str, together: bool = False) -> DataFrame:
+    """(by..., block): sentences as CoNLL-U text; missing columns are underscores.
+
+    ``together``: the rows of a sentence are neighbours, in order, and no shuffle is needed; there is no ``by`` then.
+    """
     have = {c.lower() for c in tokens.columns}
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("_")) if c in have else F.lit("_") for c in FIELDS]
+    head = F.concat(F.lit("# sent_id = "), F.col("sent_id"), F.lit("\n"), F.col("body")).alias("block")
+    if together and not by:
+        return T.joined(tokens.select("sent_id", F.concat_ws("\t", *cells).alias("body")), "body", "\n").select("sent_id", head)
     lines = tokens.select(*by, "sent_id", F.struct(F.col("id"), F.concat_ws("\t", *cells).alias("line")).alias("x"))
     body = lines.groupBy(*by, "sent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("body"))
-    return body.select(*by, "sent_id", F.concat(F.lit("# sent_id = "), F.col("sent_id"), F.lit("\n"), F.col("body")).alias("block"))
+    return body.select(*by, "sent_id", head)
 
 
 def write(blocks: DataFrame, path: str, *partition_by: str) -> None:
